@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import Stored
+from ledgerloom.llm.runtime import Stored, packed
 
 _STRIP = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -190,7 +190,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_bitmaps(docs: DataFrame, least_docs: int, least_chars: int) -> DataFrame:
     bitmaps = keep_bitmaps(docs, least_docs, least_chars)
-    return docs.withColumn("_doc", doc_key()).join(bitmaps.hint("shuffle_hash"), "_doc", "left")
+    return packed(docs, _doc=doc_key()).join(bitmaps.hint("shuffle_hash"), "_doc", "left")
 
 
 def line_digests(docs: DataFrame, least_docs: int = 10, least_chars: int = 1) -> DataFrame:
@@ -202,18 +202,20 @@ def line_digests(docs: DataFrame, least_docs: int = 10, least_chars: int = 1) ->
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     joined = _with_bitmaps(slim, least_docs, least_chars)
-    return joined.select("doc_id", "text", "bitmap").mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return joined.select("row.doc_id", "row.text", "bitmap").mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def without_frequent_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1) -> DataFrame:
     """``docs`` with ``text`` cut to the kept lines and ``n_chars``, if there, counted anew; null texts stay null."""
     joined, names = _with_bitmaps(docs, least_docs, least_chars), docs.columns
+    at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None or b is None else "\n".join(kept_lines(t, b)) for t, b in zip(batch.column("text").to_pylist(), batch.column("bitmap").to_pylist())]
-            columns = [pa.array(texts, pa.string()) if name == "text" else batch.column(name) for name in names]
+            rows = batch.column("row")
+            texts = [t if t is None or b is None else "\n".join(kept_lines(t, b)) for t, b in zip(rows.field(at).to_pylist(), batch.column("bitmap").to_pylist())]
+            columns = [pa.array(texts, pa.string()) if i == at else rows.field(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = joined.select(*names, "bitmap").mapInArrow(cut, docs.schema)
+    out = joined.select("row", "bitmap").mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

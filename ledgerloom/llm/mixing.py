@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.runtime import NOT_SPACE, Stored
+from ledgerloom.llm.runtime import NOT_SPACE, Stored, packed, unpacked
 
 LEAF_DOCUMENTS = 2048
 TREE_FANOUT = 16
@@ -148,10 +148,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
     Rows with the same doc_id, source and text share what was drawn for them as evenly as whole copies allow.
     """
-    drawn = mix_sources(docs, weights, share, cap, seed).groupBy("h").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    keyed = docs.withColumn("_h", _row_hash(seed))
-    joined = keyed.join(drawn.withColumnRenamed("h", "_h"), "_h")
-    nth = F.row_number().over(Window.partitionBy("_h").orderBy("_h"))
-    copies = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    taken = joined.withColumn("_n", copies).filter("_n > 0")
-    return taken.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    drawn = mix_sources(docs, weights, share, cap, seed).groupBy("h").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
+    joined = packed(docs, h=_row_hash(seed)).join(drawn, "h")
+    nth = F.row_number().over(Window.partitionBy("h").orderBy("h"))
+    own = F.floor(F.col("copies") / F.col("alike")) + F.when(nth <= F.col("copies") % F.col("alike"), 1).otherwise(0)
+    taken = joined.withColumn("own", own).filter("own > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own"))))
+    return unpacked(taken, docs)

@@ -44,6 +44,8 @@ _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s-]+)?(?:(?:{_DIGIT}|[0-9]+)[\s,.-]+){{
 _SPELLED_ITEM = re.compile(rf"(plus|{_DIGIT})|[0-9]+", re.I)
 #: Longer digit words of each language: a run of spelled digits long enough to matter holds one of them.
 _SPELLED_HINTS = ("zero", "two", "three", "four", "five", "seven", "eight", "nine", "null", "zwei", "drei", "sechs", "sieben", "zéro", "deux", "trois", "quatre", "cinq", "cero", "dos", "tres", "cuatro", "cinco", "siete", "ocho")
+# Endings of host names that make "at" and "dot" in plain words believable.
+_TOP_LEVELS = frozenset("com org net edu gov mil int info biz io co ai app dev uk de fr es it eu us ca ch at nl be pl se jp cn in br ru".split())
 #: Without one of these there is no at/dot disguise that counts.
 _SIGN_HINTS = ("@ ", " @", "@\n", "\n@", "dot", "punkt", "punto", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "(@", "[@", "{@", "<@", "(.", "[.", "{.", "arroba", "point")
 _AT_SIGN = r"(?:\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*|\s*@\s*|\s+(?:at|arroba)\s+)"
@@ -143,7 +145,7 @@ def _at_and_dot(tape: Tape) -> Tape:
         top = _DOTS.split(domain)[-1]
         plain_word = at.strip().lower() in ("at", "arroba")
         spoken = re.search(r"\s(?:dot|punkt|punto)\s|[\[({<]", domain, re.I)
-        if not (2 <= len(top) <= 24 and top.isalpha()) or plain_word and not spoken:
+        if not (2 <= len(top) <= 24 and top.isalpha()) or plain_word and not (spoken and top.lower() in _TOP_LEVELS):
             continue
         for group in (1, 3):
             edits += [(m.start(group) + d.start(), m.start(group) + d.end(), ".") for d in _DOTS.finditer(m.group(group))]

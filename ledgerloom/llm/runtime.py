@@ -58,6 +58,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """All columns of ``docs`` as the struct ``row`` beside the keys, so that no name clashes; ``unpacked`` undoes it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, *[k.alias(name) for name, k in keys.items()])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select("row.*").select(*[f"`{c}`" for c in docs.columns])
+
+
 def document_columns(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as string with null read as empty, and nothing else (clashing names can't matter)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

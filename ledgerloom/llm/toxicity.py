@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A linear model over hashed words scores each sentence, noisy-or combines the sentences'
-probabilities, and the document labels train it. Scoring names the sentences that make a document toxic.
+A document is a bag of sentences. A linear model over words and beginnings of words scores each sentence; a leaky noisy-or combines the
+sentences' probabilities, and the document labels train it. The leak takes up labels that no word explains. Scoring names
+the sentences that make a document toxic.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.runtime import crc32_mod
 
-BUCKETS = 1 << 17
-#: Labelled documents of each class that train the model, at most.
-SAMPLE_PER_CLASS = 2500
+#: Labelled toxic and clean documents that train the model, at most.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
+#: Lengths of the beginnings of words that count as features beside the words.
+PREFIXES = (4, 5, 6, 7)
+#: Log odds of a sentence without a telling word; so low that thousands of such sentences do not add up.
+REST = -10.0
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -36,106 +40,132 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) % BUCKETS
+def features(word: str) -> list[int]:
+    """Ids of the word and of its beginnings."""
+    return [zlib.crc32(word.encode())] + [zlib.crc32(b"^" + word[:n].encode()) for n in PREFIXES if len(word) > n]
 
 
-def bag(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct word buckets of each sentence with words, one after another, and where each sentence begins."""
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Feature ids of each sentence's distinct words, one sentence after another, and where each begins."""
     ids, starts = [], []
-    for lo, hi in sentences(text.lower()):
-        own = set(_WORD.findall(text[lo:hi].lower()))
+    for lo, hi in sentences(text):
+        own = [i for w in set(_WORD.findall(text[lo:hi].lower())) for i in features(w)]
         if own:
             starts.append(len(ids))
-            for w in own:
-                i = cache.get(w)
-                if i is None:
-                    if len(cache) > 500_000:
-                        cache.clear()
-                    i = cache[w] = bucket(w)
-                ids.append(i)
+            ids += sorted(own)
     return np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64)
 
 
 @dataclass
 class NoisyOr:
-    weights: np.ndarray
-    bias: float
-
-    def sentence_scores(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.add.reduceat(self.weights[ids], starts) + self.bias, -30, 30)))
-
-    def document_score(self, ids: np.ndarray, starts: np.ndarray) -> float:
-        """A document without words has the score of no sentence: 0."""
-        return float(-np.expm1(np.log1p(-self.sentence_scores(ids, starts)).sum())) if len(starts) else 0.0
-
-
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.15, l2: float = 1e-4, least_docs: int = 4, seed: int = 3) -> NoisyOr:
-    """Adagrad on the log loss of the noisy-or, bag by bag. Buckets in fewer than ``least_docs`` documents stay at 0."""
-    model = NoisyOr(np.zeros(BUCKETS), -6.0)
-    if not len(bags):
-        return model
-    df = np.zeros(BUCKETS)
-    for ids, _ in bags:
-        df[np.unique(ids)] += 1
-    learnt = df >= least_docs
-    squares, bias_square = np.full(BUCKETS, 1e-2), 1e-2
-    positive = max(1.0, labels.sum())
-    balance = {1: len(labels) / (2 * positive), 0: len(labels) / (2 * max(1.0, len(labels) - positive))}
-    rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for d in rng.permutation(len(bags)):
-            ids, starts = bags[d]
-            if not len(starts):
-                continue
-            p = model.sentence_scores(ids, starts)
-            none = np.exp(np.log1p(-p).sum())  # probability that no sentence is toxic
-            slope = (p if not labels[d] else -p * none / max(1 - none, 1e-6)) * balance[int(labels[d])]
-            gradient = np.repeat(slope, np.diff(np.append(starts, len(ids))))
-            touched, place = np.unique(ids, return_inverse=True)
-            g = (np.bincount(place, weights=gradient) + l2 * model.weights[touched]) * learnt[touched]
-            squares[touched] += g * g
-            model.weights[touched] -= rate * g / np.sqrt(squares[touched])
-            bias_square += slope.sum() ** 2
-            model.bias -= 0.2 * rate * slope.sum() / np.sqrt(bias_square)
-    # A word that marks toxicity marks it anywhere; small weights are noise that long documents would add up.
-    model.weights[np.abs(model.weights) < 0.25] = 0.0
-    model.bias = min(model.bias, -6.0)
-    return model
+    weights: dict[int, float] = field(default_factory=dict)
+    leak: float = 0.0
+    cache: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False, compare=False)
+
+    def telling(self, word: str) -> tuple[int, ...]:
+        """The word's features that have a weight."""
+        found = self.cache.get(word)
+        if found is None:
+            if len(self.cache) > 500_000:
+                self.cache.clear()
+            found = self.cache[word] = tuple(i for i in features(word) if i in self.weights)
+        return found
+
+    def sentence_score(self, sentence: str) -> float:
+        z = REST + sum(self.weights[i] for w in set(_WORD.findall(sentence.lower())) for i in self.telling(w))
+        return 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
+
+    def document_score(self, text: str) -> float:
+        """Noisy-or over the sentences and the leak. The sentences are looked at one by one only if a word of the text tells."""
+        spans = list(sentences(text))
+        none = np.log1p(-min(self.leak, 1 - 1e-9))
+        if any(map(self.telling, set(_WORD.findall(text.lower())))):
+            none += sum(np.log1p(-min(self.sentence_score(text[lo:hi]), 1 - 1e-12)) for lo, hi in spans)
+        else:
+            none += len(spans) * np.log1p(-1 / (1 + np.exp(-REST)))
+        return float(-np.expm1(none))
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, least_share: float = 0.04, screen: float = 4.0, rounds: int = 400, rate: float = 0.4, l1: float = 0.002) -> NoisyOr:
+    """Gradient steps on the log loss of the noisy-or, all bags at once.
+
+    Only features whose share of toxic documents lies ``screen`` standard deviations above that of all documents take part,
+    with weights that are never negative: a feature speaks for toxicity or not at all. A feature must also be in
+    ``least_share`` as many documents as are toxic (5 at least), or copies of one document would make its rare words tell.
+    """
+    if not len(bags) or not labels.any():
+        return NoisyOr()
+    rate_all = labels.mean()
+    per_doc = [np.unique(ids) for ids, _ in bags]
+    words, place = np.unique(np.concatenate(per_doc), return_inverse=True)
+    df = np.bincount(place, minlength=len(words))
+    toxic = np.bincount(place, weights=np.repeat(labels, [len(x) for x in per_doc]), minlength=len(words))
+    excess = (toxic - rate_all * df) / np.sqrt(np.maximum(rate_all * (1 - rate_all), 1e-9) * df)
+    telling = words[(df >= max(5, least_share * labels.sum())) & (excess >= screen)]
+    if not len(telling):
+        return NoisyOr({}, float(rate_all) if rate_all < 0.5 else 0.0)
+    # Occurrences of telling words: which sentence, which document.
+    word, sentence, doc = [], [], []
+    n_sentences = np.array([len(starts) for _, starts in bags])
+    offset = 0
+    for d, (ids, starts) in enumerate(bags):
+        at = np.searchsorted(telling, ids)
+        hit = np.flatnonzero((at < len(telling)) & (telling[np.minimum(at, len(telling) - 1)] == ids))
+        word.append(at[hit])
+        sentence.append(offset + np.searchsorted(starts, hit, "right") - 1)
+        doc.append(np.full(len(hit), d))
+        offset += len(starts)
+    word, sentence, doc = map(np.concatenate, (word, sentence, doc))
+    sentences_hit, sentence = np.unique(sentence, return_inverse=True)
+    doc_of = np.zeros(len(sentences_hit), dtype=int)
+    doc_of[sentence] = doc
+    plain = np.log1p(-1 / (1 + np.exp(-REST))) * (n_sentences - np.bincount(doc_of, minlength=len(bags)))
+    w, leak, squares = np.full(len(telling), -REST), rate_all / 2, np.full(len(telling), 1e-2)
+    y = labels.astype(float)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(REST + np.bincount(sentence, weights=w[word], minlength=len(sentences_hit)), -30, 30)))
+        quiet = plain + np.bincount(doc_of, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(bags))
+        none = (1 - leak) * np.exp(quiet)
+        slope = np.where(y[doc_of] > 0, -p * (none / np.maximum(1 - none, 1e-9))[doc_of], p)
+        g = np.bincount(word, weights=slope[sentence], minlength=len(telling)) + l1
+        squares += g * g
+        w = np.maximum(0.0, w - rate * g / np.sqrt(squares))
+        # the leak by expectation: how far it explains the toxic documents
+        explained = y * leak / np.maximum(1 - none, 1e-9)
+        leak = float(np.clip(explained.sum() / len(y), 1e-4, 0.4))
+    return NoisyOr({int(i): float(x) for i, x in zip(telling, w) if x > 0.1}, leak)
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache: dict[str, int] = {}
     for batch in batches:
-        pairs = [bag(t, cache) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([i.astype(np.int32) for i, _ in pairs], pa.list_(pa.int32())), pa.array([s.astype(np.int32) for _, s in pairs], pa.list_(pa.int32()))], names=["toxic", "ids", "starts"])
+        pairs = [bag(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([i for i, _ in pairs], pa.list_(pa.int64())), pa.array([s for _, s in pairs], pa.list_(pa.int64()))], names=["toxic", "ids", "starts"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample_per_class: int = SAMPLE_PER_CLASS) -> NoisyOr:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> NoisyOr:
     """Train on a bounded sample of labelled documents outside the held-out fold (crc32 of the id modulo ``folds``).
 
     Null labels and ids don't train; a document with several labels is toxic if one says so. The sample takes each class's
-    ids with the smallest hash. The other inputs are word buckets of the texts alone.
+    ids with the smallest hash. Inputs are words of the texts alone.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     known = known.filter(crc32_mod(F.col("doc_id"), folds) != held_out)
     picked = []
-    for label in (0, 1):
-        ids = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class)
+    for label, sample in ((0, sample_clean), (1, sample_toxic)):
+        ids = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked += [(r["doc_id"], label) for r in ids.collect()]
     sample = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    rows = texts.mapInArrow(_bags, "toxic int, ids array<int>, starts array<int>").toArrow()
+    rows = texts.mapInArrow(_bags, "toxic int, ids array<long>, starts array<long>").toArrow()
     order = sorted(range(rows.num_rows), key=lambda i: zlib.crc32(rows["ids"][i].values.to_numpy().tobytes()))  # partitions may come in any order
-    bags = [(rows["ids"][i].values.to_numpy().astype(np.int64), rows["starts"][i].values.to_numpy().astype(np.int64)) for i in order]
+    bags = [(rows["ids"][i].values.to_numpy(), rows["starts"][i].values.to_numpy()) for i in order]
     return train(bags, rows["toxic"].to_numpy()[order] if len(order) else np.empty(0))
 
 
 def _scored(model: NoisyOr):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
         for batch in batches:
-            scores = np.array([model.document_score(*bag(t, cache)) for t in batch.column("text").to_pylist()], dtype=np.float64)
+            scores = np.array([model.document_score(t) for t in batch.column("text").to_pylist()], dtype=np.float64)
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
@@ -145,7 +175,7 @@ def _scored(model: NoisyOr):
 def score_toxicity(docs: DataFrame, model: NoisyOr, folds: int = 5, held_out: int = 0) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Whole texts are scored; null, empty and wordless texts score 0. A null id is in the fold of an empty text. Repeated
+    Whole texts are scored; null, empty and wordless texts score the leak, which is below 0.5. A null id is in the fold of an empty text. Repeated
     rows give repeated results; an empty table gives an empty one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc32_mod(F.col("doc_id"), folds) == held_out).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
@@ -156,13 +186,11 @@ def offending_sentences(docs: DataFrame, model: NoisyOr, threshold: float = 0.5)
     """doc_id, start, end (code points) and score of each sentence whose own probability reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 for lo, hi in sentences(text):
-                    ids, starts = bag(text[lo:hi], cache)
-                    score = model.document_score(ids, starts)
+                    score = model.sentence_score(text[lo:hi])
                     if score >= threshold:
                         out.append((doc_id, lo, hi, score))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "start", "end", "score"])
@@ -175,9 +203,8 @@ def without_toxic(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> Da
     """The rows of ``docs``, with all their columns, that score below the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
         for batch in batches:
-            keep = [model.document_score(*bag(t or "", cache)) < threshold for t in batch.column("text").to_pylist()]
+            keep = [model.document_score(t or "") < threshold for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
