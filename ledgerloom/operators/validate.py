@@ -10,13 +10,18 @@ from ledgerloom.functions.text import normalize_name
 from ledgerloom.operators.measures import money
 from ledgerloom.schema import BALANCE_TOLERANCE, CLOSING_TOLERANCE
 
-_BY_SEQ = Window.partitionBy("statement_id").orderBy("seq")
-_SIGNED = F.when(F.col("direction") == "CREDIT", F.col("amount")).otherwise(-F.col("amount"))
+
+def _by_seq():
+    return Window.partitionBy("statement_id").orderBy("seq")
+
+
+def _signed():
+    return F.when(F.col("direction") == "CREDIT", F.col("amount")).otherwise(-F.col("amount"))
 
 
 def carried_balance(ledger: DataFrame) -> DataFrame:
     """``previous_balance``: the last balance printed before the row, or the opening balance; ``delta`` to this row's."""
-    before = F.last("balance", ignorenulls=True).over(_BY_SEQ.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("balance", ignorenulls=True).over(_by_seq().rowsBetween(Window.unboundedPreceding, -1))
     rows = ledger.withColumn("previous_balance", F.coalesce(before, F.col("opening_balance")))
     return rows.withColumn("delta", F.col("balance") - F.col("previous_balance"))
 
@@ -75,9 +80,9 @@ def adjacent_checks(ledger: DataFrame) -> DataFrame:
 
     Descending wins only if it fits strictly more. ``corrected_direction`` is by the winner's neighbour alone.
     """
-    rows = ledger.withColumns({"before": F.lag("balance").over(_BY_SEQ), "after": F.lead("balance").over(_BY_SEQ)})
+    rows = ledger.withColumns({"before": F.lag("balance").over(_by_seq()), "after": F.lead("balance").over(_by_seq())})
     up, down = F.col("balance") - F.col("before"), F.col("balance") - F.col("after")
-    rows = rows.withColumns({"delta_up": up, "delta_down": down, "fit_up": F.coalesce((up == _SIGNED).cast("int"), F.lit(0)), "fit_down": F.coalesce((down == _SIGNED).cast("int"), F.lit(0))})
+    rows = rows.withColumns({"delta_up": up, "delta_down": down, "fit_up": F.coalesce((up == _signed()).cast("int"), F.lit(0)), "fit_down": F.coalesce((down == _signed()).cast("int"), F.lit(0))})
     whole = Window.partitionBy("statement_id")
     rows = rows.withColumn("descending", F.sum("fit_down").over(whole) > F.sum("fit_up").over(whole))
     delta = F.when(F.col("descending"), F.col("delta_down")).otherwise(F.col("delta_up"))
