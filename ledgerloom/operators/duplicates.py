@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.similarity import text_ratio
 from ledgerloom.functions.text import normalize_name
+from ledgerloom.operators.grouping import per_group
 from ledgerloom.schema import DUPLICATE_NARRATION_SIMILARITY
 
 
@@ -38,19 +38,18 @@ def duplicate_tiers(ledger: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def _similar_rows(threshold: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", ignore_index=True)
-        texts, group = [(t or "").upper() for t in rows["narration"]], [None] * len(rows)
+    def solve(rows: list[dict]) -> list[tuple]:
+        texts, group = [(r["narration"] or "").upper() for r in rows], [None] * len(rows)
         for i, a in enumerate(texts):
             if group[i] is not None:
                 continue
             near = [j for j, b in enumerate(texts) if j != i and group[j] is None and text_ratio(a, b) >= threshold]
             if near:
                 for j in [i, *near]:
-                    group[j] = int(rows["seq"][i])
-        return pd.DataFrame({"statement_id": rows["statement_id"], "seq": rows["seq"], "possible": pd.array(group, dtype="Int64")})
+                    group[j] = rows[i]["seq"]
+        return [(r["statement_id"], r["seq"], g) for r, g in zip(rows, group) if g is not None]
 
-    return run
+    return solve
 
 
 def possible_duplicates(tiers: DataFrame, threshold: float = DUPLICATE_NARRATION_SIMILARITY) -> DataFrame:
@@ -61,8 +60,7 @@ def possible_duplicates(tiers: DataFrame, threshold: float = DUPLICATE_NARRATION
     left = tiers.filter("high is null and medium is null and txn_date is not null")
     block = Window.partitionBy("statement_id", "txn_date", "amount", "direction")
     shared = left.withColumn("n", F.count("*").over(block)).filter("n > 1").select("statement_id", "seq", "txn_date", "amount", "direction", "narration")
-    found = shared.groupBy("statement_id", "txn_date", "amount", "direction").applyInPandas(_similar_rows(threshold), "statement_id long, seq long, possible long")
-    return found.filter("possible is not null")
+    return per_group(shared, ["statement_id", "txn_date", "amount", "direction"], ["seq"], _similar_rows(threshold), "statement_id long, seq long, possible long")
 
 
 def duplicate_groups(ledger: DataFrame) -> DataFrame:

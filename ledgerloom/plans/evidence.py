@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ def run(ledger: DataFrame, classifications: DataFrame, readings: DataFrame | Non
     rows = classify.normalize(rows, readings if readings is not None else classify.rule_readings(rows), account)
     found = resolve.resolve_counterparties(rows)
     rows = rows.drop("counterparty", "counterparty_type", "confidence", "evidence").join(found, ["statement_id", "seq", "transaction_id"]).withColumn("counterparty", F.col("counterparty_id"))
+    rows = rows.persist(StorageLevel.DISK_ONLY)  # every result reads the resolved rows; resolving is the costly step
     pairs = duplicates.duplicate_groups(rows.withColumn("reference_number", F.col("reference"))).withColumnRenamed("confidence", "duplicate_confidence")
     rows = rows.join(pairs, ["statement_id", "seq"], "left")
     rows = classify.classify(rows, classifications)
