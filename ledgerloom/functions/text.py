@@ -225,9 +225,13 @@ def identifiers(account: Column, upi_id: Column, merchant: Column, ifsc_code: Co
 
 def conflicting(mine: Column, theirs: Column) -> Column:
     """Two different accounts, or UPI ids, are two parties."""
+
+    def of_kind(ids: Column, kind: str) -> Column:
+        return F.filter(ids, lambda x: F.startswith(x, F.lit(kind)))
+
     out = F.lit(False)
     for kind in ("acct:", "upi:"):
-        a, b = F.filter(mine, lambda x, k=kind: F.startswith(x, F.lit(k))), F.filter(theirs, lambda x, k=kind: F.startswith(x, F.lit(k)))
+        a, b = of_kind(mine, kind), of_kind(theirs, kind)
         out = out | ((F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b))
     return out
 

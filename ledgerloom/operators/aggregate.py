@@ -90,6 +90,14 @@ def top_counterparties(ledger: DataFrame, k: int = 40) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("statement_id").orderBy(F.desc("n"), "counterparty"))).filter(F.col("rank") <= k)
 
 
+def frequent_categories(ledger: DataFrame, least: int = 3, k: int = 100) -> DataFrame:
+    """Categories but UNKNOWN by frequency, ``k`` at most, of statements that have ``least`` of them."""
+    counts = ledger.filter(or_unknown(F.col("category")) != "UNKNOWN").groupBy("statement_id", "category").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    statement = Window.partitionBy("statement_id")
+    ranked = counts.withColumns({"labels": F.count("*").over(statement), "rank": F.row_number().over(statement.orderBy(F.desc("n"), "first_seq"))})
+    return ranked.filter((F.col("labels") >= least) & (F.col("rank") <= k)).drop("labels", "first_seq")
+
+
 def upper_median(ledger: DataFrame) -> DataFrame:
     """The element at floor(n / 2), from 0, of each statement's sorted amounts."""
     sizes = F.count("amount").over(Window.partitionBy("statement_id"))

@@ -19,22 +19,22 @@ def exact_duplicate_rows(ledger: DataFrame) -> DataFrame:
     return keyed.withColumn("group_rows", F.count("*").over(same)).filter("group_rows > 1")
 
 
-def _grouped(rows: DataFrame, usable: Column, keys: list[str]) -> DataFrame:
+def _grouped(usable: Column, keys: list[str]) -> Column:
     """The first row's seq of each group of two and more; null elsewhere. Unusable rows go to groups of their own."""
     own = F.when(~usable, F.col("seq"))
     same = Window.partitionBy("statement_id", *keys, own)
     return F.when(usable & (F.count("*").over(same) > 1), F.min("seq").over(same))
 
 
-def duplicate_tiers(ledger: DataFrame, order: str = "seq") -> DataFrame:
+def duplicate_tiers(ledger: DataFrame) -> DataFrame:
     """``high`` and ``medium``: seq of the group's first row, by reference and then, among rows not high, by counterparty.
 
     Groups of one tier are disjoint, so each tier is one window; rows of a medium group that are high already are left out
     of its count.
     """
-    rows = ledger.withColumn("high", _grouped(ledger, F.col("reference_number").isNotNull() & (F.col("reference_number") != ""), ["reference_number", "amount", "direction"]))
+    rows = ledger.withColumn("high", _grouped(F.col("reference_number").isNotNull() & (F.col("reference_number") != ""), ["reference_number", "amount", "direction"]))
     free = F.col("high").isNull() & F.col("txn_date").isNotNull() & F.col("counterparty").isNotNull()
-    return rows.withColumn("medium", _grouped(rows, free, ["txn_date", "amount", "direction", "counterparty"]))
+    return rows.withColumn("medium", _grouped(free, ["txn_date", "amount", "direction", "counterparty"]))
 
 
 def _similar_rows(threshold: float):

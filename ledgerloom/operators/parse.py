@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.text import AMOUNT, DATE_LINE, MANUAL_DATE, clean_amount, extracted
+from ledgerloom.functions.text import AMOUNT, DATE_LINE, MANUAL_DATE, clean_amount
 
 # Labels of the account block in text, headers of the tabular form.
 ACCOUNT_LABELS = {
@@ -173,5 +173,6 @@ def owned_rows(rows: DataFrame) -> DataFrame:
     return rows.filter("source_line is null or (source_line >= start and source_line < stop)")
 
 
-def reference_or_extracted(c: str, pattern: str, group: int = 0) -> Column:
-    return extracted(F.col(c), pattern, group)
+def account_window(text: Column, head: int = 6000, tail: int = 1500) -> Column:
+    """What a reader of account details sees: the beginning and the end of the text."""
+    return F.concat(F.substring(text, 1, head), F.lit("\n...\n"), F.right(text, F.lit(tail)))

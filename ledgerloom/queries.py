@@ -598,6 +598,112 @@ def cluster_members_total(spark, sf_dir):
     return flat(back.groupBy("statement_id", "counterparty").agg(F.sum("amount").alias("total"), F.min("seq").alias("first_seq")))
 
 
+@query(f"with {L1}, g as (select statement_id, category, count(*) as n, min(seq) as f from l1 group by 1, 2), r as (select *, count(*) over (partition by statement_id) as labels, row_number() over (partition by statement_id order by n desc, f) as rank from g) select statement_id, category, n, rank from r where labels >= 3 and rank <= 100")
+def frequent_categories(spark, sf_dir):
+    return flat(aggregate.frequent_categories(tables.ledger(spark, sf_dir)))
+
+
+@query(f"with {L1} select statement_id, {MEAN} as mean_confidence, count(*) filter (where cast(confidence as double) < 0.6) as low_confidence, count(*) filter (where counterparty is null) as unknown_counterparties, cast(0 as bigint) as unknown_categories from l1 group by 1")
+def extraction_quality(spark, sf_dir):
+    return flat(aggregate.extraction_quality(tables.ledger(spark, sf_dir)))
+
+
+@query(f"""with {L1}, g as (select statement_id, coalesce(counterparty, 'UNKNOWN') as counterparty, direction, sum(amount) as s, min(seq) as f from l1 group by 1, 2, 3),
+r as (select *, printf('CL%04d', row_number() over (partition by statement_id order by f)) as cluster_id, row_number() over (partition by statement_id order by direction, s desc, f) as rank from g)
+select statement_id, counterparty, arg_min(cluster_id, rank) as cluster_id from r group by 1, 2""")
+def first_cluster_of_counterparty(spark, sf_dir):
+    return cluster.first_cluster_of_counterparty(tables.ledger(spark, sf_dir))
+
+
+@query(f"""with {L1}, r as (select *, case when l_partkey % 19 = 0 then 'Supplier#000000001' end as related from l1 where counterparty is not null), g as (select statement_id, counterparty, list_sort(list(distinct related)) as related from r group by 1, 2),
+c as (select *, printf('CL_%04d', row_number() over (partition by statement_id order by counterparty)) as cluster_id from g)
+select a.statement_id, a.cluster_id, b.cluster_id as related_cluster_ids from c a left join c b on a.statement_id = b.statement_id and b.counterparty = a.related[1]""")
+def related_clusters(spark, sf_dir):
+    rows = tables.ledger(spark, sf_dir).withColumn("possible_match_of", F.when(F.col("l_partkey") % 19 == 0, "Supplier#000000001"))
+    return flat(cluster.related_clusters(cluster.counterparty_clusters(rows)), "statement_id", "cluster_id", "related_cluster_ids")
+
+
+@query(f"with {_CHECKED} select statement_id, cast(seq as bigint) as seq, cast(balance - delta as double) as previous_balance, cast(delta as double) as delta from w where delta is not null")
+def carried_balances(spark, sf_dir):
+    return flat(validate.carried_balance(tables.damaged_ledger(spark, sf_dir)).filter("delta is not null"), "statement_id", "seq", "previous_balance", "delta")
+
+
+@query(f"with {_ADJACENT} select statement_id, cast(seq as bigint) as seq, direction, corrected as corrected_direction from e where direction <> corrected")
+def adjacent_corrections(spark, sf_dir):
+    return flat(validate.adjacent_checks(tables.damaged_ledger(spark, sf_dir)).filter("direction <> corrected_direction"), "statement_id", "seq", "direction", "corrected_direction")
+
+
+@query(f"with {_CHECKED} select statement_id, {TOTALS} from w group by 1")
+def corrected_totals(spark, sf_dir):
+    rows = validate.checked_rows(tables.damaged_ledger(spark, sf_dir)).withColumn("direction", F.col("corrected_direction"))
+    return flat(aggregate.statement_totals(rows).drop("first_date", "last_date"))
+
+
+@query(f"with {_LINES}, c as (select *, string_agg(line, chr(10)) over (partition by doc_id order by line_no rows between 3 preceding and 8 following) as context from lines) select doc_id, line_no, sha256(context) as context_sha256 from c")
+def context_lines(spark, sf_dir):
+    found = parse.context_lines(parse.text_lines(tables.table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    return flat(found.select("doc_id", "line_no", F.sha2("context", 256).alias("context_sha256")))
+
+
+@query("select doc_id, sha256(concat(substring(text, 1, 6000), chr(10), '...', chr(10), right(text, 1500))) as window_sha256 from documents")
+def account_window(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", F.sha2(parse.account_window(F.col("text")), 256).alias("window_sha256"))
+
+
+@query("select conv_id, turn, concat(upper(substring(role, 1, 1)), substring(role, 2)) as shown, nullif(case when role = 'user' then '' else role end, '') as kept from conversations")
+def display_and_blanks(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "conversations")
+    blanked = catalog.blanks_as_null(rows.select("conv_id", "turn", t.display_choice(F.col("role")).alias("shown"), F.when(F.col("role") == "user", "").otherwise(F.col("role")).alias("kept")))
+    return blanked
+
+
+@query(f"with {L2} select event_id, contains(lower(narration), 'acme') or contains(lower(narration), 'traders') as grounded, regexp_replace(narration, '[^0-9]', '', 'g') as digits from l2")
+def grounded_names(spark, sf_dir):
+    n = F.col("narration")
+    return tables.narrated_ledger(spark, sf_dir).select("event_id", t.grounded(F.lit("Acme-Traders Co"), n).alias("grounded"), t.digits(n).alias("digits"))
+
+
+_MONEY = "printf('%s,%03d.%02d', cast(event_id as varchar), event_id % 1000, event_id % 100)"
+
+
+@query(f"select event_id, cast(try_cast(regexp_replace({_MONEY}, '[^0-9.\\-]', '', 'g') as decimal(15,2)) as double) as amount, case when event_id % 3 = 0 then 'DEBIT' when event_id % 3 = 1 then 'CREDIT' else 'UNKNOWN' end as direction from events")
+def printed_amounts(spark, sf_dir):
+    i = F.col("event_id")
+    printed = F.concat(F.lit("₹ "), i.cast("string"), F.lit(","), F.format_string("%03d.%02d", i % 1000, i % 100))
+    side = F.when(i % 3 == 0, " withdrawal").when(i % 3 == 1, "Receipt").otherwise("?")
+    return flat(tables.table(spark, sf_dir, "events").select("event_id", t.clean_amount(printed).alias("amount"), t.direction_of(side).alias("direction")))
+
+
+@query(f"""with {L2}, i as (select *, coalesce(reference_number, nullif(regexp_extract(narration, '\\b\\d{{9,22}}\\b', 0), '')) as ref, nullif(regexp_extract(upper(narration), '\\b[A-Z]{{4}}0[A-Z0-9]{{6}}\\b', 0), '') as code,
+  lower(nullif(regexp_extract(narration, '\\b[\\w.\\-]{{2,}}@[A-Za-z]{{2,}}\\b', 0), '')) as upi from l2)
+select event_id, array_to_string(list_filter([case when upi is not null then 'upi:' || upi end, case when code is not null then 'ifsc:' || code end, case when ref is not null then 'ref:' || ref end], lambda x: x is not null), ',') as identifiers,
+  upi is not null and upi <> 'shop1@okbank' as conflicting from i""")
+def identifiers(spark, sf_dir):
+    n, none = F.col("narration"), F.lit(None).cast("string")
+    ids = t.identifiers(none, t.upi(n), none, t.ifsc(n), t.reference(n, F.col("reference_number")))
+    return flat(tables.narrated_ledger(spark, sf_dir).select("event_id", ids.alias("identifiers"), t.conflicting(ids, F.array(F.lit("upi:shop1@okbank"))).alias("conflicting")))
+
+
+@query("select event_id, least(1.0, case when event_id % 2 = 0 then 0.5 else 0 end + case when event_id % 3 = 0 then 0.3 else 0 end + case when event_id % 5 = 0 then 0.25 else 0 end + case when event_id % 7 = 0 then 0.15 else 0 end)::double as score from events")
+def evidence_scores(spark, sf_dir):
+    i, no = F.col("event_id"), F.lit(False)
+    return tables.table(spark, sf_dir, "events").select("event_id", t.evidence_score({"account": i % 2 == 0, "upi": i % 3 == 0, "merchant": i % 5 == 0}, no, i % 7 == 0, no, no).alias("score"))
+
+
+@query(f"with {L2D}, u as (select * from l2d union all select * from l2d), r as (select *, row_number() over (partition by statement_id, event_id, narration order by row_id) as n from u) select event_id, row_id from r where n = 1")
+def keep_first_items(spark, sf_dir):
+    rows = tables.doubled_ledger(spark, sf_dir)
+    items = rows.select("statement_id", F.col("event_id").alias("transaction_id"), F.col("row_id").alias("seq"), F.lit(0).alias("rule_no"), F.lit("x").alias("issue_type"), F.col("narration").alias("reason"), F.lit("LOW").alias("severity"))
+    return review.without_repeats(items.unionByName(items)).select(F.col("transaction_id").alias("event_id"), F.col("seq").alias("row_id"))
+
+
+@query(f"""with {L2}, n as (select *, trim(regexp_replace(upper(narration), '[^A-Z0-9]+', ' ', 'g')) as norm from l2), g as (select statement_id, count(distinct (norm, direction)) as cluster_count from n group by 1)
+select statement_id, count(distinct txn_date) as page_count, count(*) as transaction_count, any_value(cluster_count) as cluster_count from n join g using (statement_id) group by 1""")
+def manual_summary(spark, sf_dir):
+    rows = tables.narrated_ledger(spark, sf_dir).withColumns({"normalized_narration": t.normalize_narration(F.col("narration")), "transaction_type": F.col("direction")})
+    return flat(manual.summary(rows, manual.clusters(rows, "event_id", "event_id"), "txn_date"))
+
+
 @query()
 def canonicalize_names(spark, sf_dir):
     return flat(resolve.canonical_names(tables.ledger(spark, sf_dir)))
