@@ -28,8 +28,11 @@ def word_count(text):
 
 
 def _pivot(items: pd.DataFrame, last: bool) -> pd.DataFrame:
-    """Round all but one of the items; the last level rounds that one as well. Order and draws come from the rows alone."""
-    items = items.sort_values(["pick", "doc_id", "size"], kind="stable", ignore_index=True)
+    """Round all but one of the items; the last level rounds that one as well. Order and draws come from the rows alone.
+
+    Large documents come first: the small ones after them take up their residue, so what is left at the end is small.
+    """
+    items = items.sort_values(["size", "pick", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
     p, size, pick = items["p"].to_numpy(copy=True), items["size"].to_numpy().astype(float), items["pick"].to_numpy()
     held = -1
     for j in range(len(p)):
