@@ -7,20 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ledgerloom.plans import evidence, grouped
+from ledgerloom.plans.results import Results
 
 NO_CLASSIFICATIONS = "statement_id long, transaction_id string, category string, counterparty string, payment_mode string, relationship string, confidence double"
 NO_JUDGEMENTS = "statement_id long, transaction_id string, category string, confidence double, evidence array<string>, requires_review boolean"
 
 
-def process(ledger: DataFrame, classifications: DataFrame | None = None, merges: DataFrame | None = None, group_by: str | Sequence[str] | None = None, include_transactions: bool = True) -> dict[str, DataFrame]:
+def process(ledger: DataFrame, classifications: DataFrame | None = None, merges: DataFrame | None = None, group_by: str | Sequence[str] | None = None, include_transactions: bool = True) -> Results:
     """The grouped pipeline. Without ``classifications`` the rules alone decide."""
     made = classifications if classifications is not None else ledger.sparkSession.createDataFrame([], NO_CLASSIFICATIONS)
     out = grouped.run(ledger, made, merges, group_by)
-    return out if include_transactions else {k: v for k, v in out.items() if k != "transactions"}
+    return out if include_transactions else out.without("transactions")
 
 
-def intelligence(ledger: DataFrame, classifications: DataFrame | None = None, readings: DataFrame | None = None, account: DataFrame | None = None, include_transactions: bool = True) -> dict[str, DataFrame]:
+def intelligence(ledger: DataFrame, classifications: DataFrame | None = None, readings: DataFrame | None = None, account: DataFrame | None = None, include_transactions: bool = True) -> Results:
     """The evidence-based pipeline. Its groupings are fixed."""
     made = classifications if classifications is not None else ledger.sparkSession.createDataFrame([], NO_JUDGEMENTS)
     out = evidence.run(ledger, made, readings, account)
-    return out if include_transactions else {k: v for k, v in out.items() if k != "transactions"}
+    return out if include_transactions else out.without("transactions")

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import aggregate, classify, cluster, duplicates, resolve, review, validate
 from ledgerloom.operators.measures import totals
+from ledgerloom.plans.results import Results
 
 
-def run(ledger: DataFrame, classifications: DataFrame, readings: DataFrame | None = None, account: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All results of the pipeline, as DataFrames by name.
+def run(ledger: DataFrame, classifications: DataFrame, readings: DataFrame | None = None, account: DataFrame | None = None) -> Results:
+    """All results of the pipeline by name.
 
     ``ledger``: statement_id, seq, transaction_id, txn_date, amount, direction, narration, reference_number, balance,
     opening_balance, extraction_confidence. Without ``readings`` the rules read the narrations.
@@ -26,14 +27,13 @@ def run(ledger: DataFrame, classifications: DataFrame, readings: DataFrame | Non
     pairs = duplicates.duplicate_groups(rows.withColumn("reference_number", F.col("reference"))).withColumnRenamed("confidence", "duplicate_confidence")
     rows = rows.join(pairs, ["statement_id", "seq"], "left")
     rows = classify.classify(rows, classifications)
-    clusters = cluster.related_clusters(cluster.counterparty_clusters(rows))
-    queue = review.queue(rows)
-    rows = cluster.cluster_of_transaction(review.with_flags(rows.withColumnRenamed("requires_review", "match_review"), queue), clusters)
-    return {
-        "validation": validate.validate(ledger), "money_received": aggregate.side_summary(rows, "CREDIT"), "money_paid": aggregate.side_summary(rows, "DEBIT"), "clusters": clusters,
-        "counterparties": resolve.party_registry(rows), "group_totals": aggregate.group_totals(rows), "category_breakdown": aggregate.category_breakdown(rows), "review_queue": queue,
-        "totals": rows.groupBy("statement_id").agg(*totals()), "transactions": transaction_tree(rows), "unknown": unknown_transactions(rows),
-    }
+    flagged = lambda done: review.with_flags(rows.withColumnRenamed("requires_review", "match_review"), done["review_queue"])
+    return Results({
+        "validation": lambda _: validate.validate(ledger), "money_received": lambda _: aggregate.side_summary(rows, "CREDIT"), "money_paid": lambda _: aggregate.side_summary(rows, "DEBIT"),
+        "clusters": lambda _: cluster.related_clusters(cluster.counterparty_clusters(rows)), "counterparties": lambda _: resolve.party_registry(rows), "group_totals": lambda _: aggregate.group_totals(rows),
+        "category_breakdown": lambda _: aggregate.category_breakdown(rows), "review_queue": lambda _: review.queue(rows), "totals": lambda _: rows.groupBy("statement_id").agg(*totals()),
+        "transactions": lambda done: transaction_tree(cluster.cluster_of_transaction(flagged(done), done["clusters"])), "unknown": lambda _: unknown_transactions(rows),
+    })
 
 
 def unknown_transactions(rows: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def transaction_tree(rows: DataFrame) -> DataFrame:
     )
 
 
-def result_rows(results: dict[str, DataFrame]) -> DataFrame:
+def result_rows(results: Results) -> DataFrame:
     """One nested row a statement, ready to append."""
     gather = lambda name, order, *columns: results[name].groupBy("statement_id").agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias(name))
     out = results["validation"].join(results["totals"].select("statement_id", "total_credit", "total_debit", "net_amount"), "statement_id")

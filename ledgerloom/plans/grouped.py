@@ -10,30 +10,30 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import income_or_expense
 from ledgerloom.operators import aggregate, classify, cluster, duplicates, resolve, review, validate
 from ledgerloom.operators.measures import money
+from ledgerloom.plans.results import Results
 
 
-def run(ledger: DataFrame, classifications: DataFrame, merges: DataFrame | None = None, group_by: str | Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """All results of the pipeline, as DataFrames by name.
+def run(ledger: DataFrame, classifications: DataFrame, merges: DataFrame | None = None, group_by: str | Sequence[str] | None = None) -> Results:
+    """All results of the pipeline by name.
 
     ``ledger``: statement_id, seq, transaction_id, txn_date, amount, direction, narration, reference_number, balance.
     Sums in ``validation`` are as printed; those in ``totals`` follow the corrected directions.
     """
     checked = validate.adjacent_checks(ledger)
-    validation = validate.validate_adjacent(ledger)
     rows = checked.withColumn("direction", F.col("corrected_direction")).select(*ledger.columns)
     rows = classify.classify_grouped(rows, classifications)
     if merges is not None:
         rows = classify.merge_categories(rows, merges)
     rows = classify.repair_relationships(resolve.with_canonical_names(rows))
-    repeated = duplicates.exact_duplicate_rows(rows)
-    queue = review.queue_grouped(rows, validation, repeated)
-    clusters = cluster.cluster_by_fields(rows, group_by)
-    return {
-        "validation": validation, "transactions": transaction_tree(review.with_flags(rows, queue), clusters), "clusters": clusters, "counterparties": aggregate.counterparty_summary(rows),
-        "categories": aggregate.category_summary(rows), "payment_modes": aggregate.payment_mode_summary(rows), "months": aggregate.month_summary(rows),
-        "totals": rows.groupBy("statement_id").agg(money("CREDIT").alias("credit_total"), money("DEBIT").alias("debit_total"), (money("CREDIT") - money("DEBIT")).alias("net")),
-        "quality": aggregate.extraction_quality(rows), "review_queue": queue, "summary": text_summary(rows, validation, queue),
-    }
+    net = [money("CREDIT").alias("credit_total"), money("DEBIT").alias("debit_total"), (money("CREDIT") - money("DEBIT")).alias("net")]
+    return Results({
+        "validation": lambda _: validate.validate_adjacent(ledger), "clusters": lambda _: cluster.cluster_by_fields(rows, group_by), "counterparties": lambda _: aggregate.counterparty_summary(rows),
+        "categories": lambda _: aggregate.category_summary(rows), "payment_modes": lambda _: aggregate.payment_mode_summary(rows), "months": lambda _: aggregate.month_summary(rows),
+        "totals": lambda _: rows.groupBy("statement_id").agg(*net), "quality": lambda _: aggregate.extraction_quality(rows),
+        "review_queue": lambda done: review.queue_grouped(rows, done["validation"], duplicates.exact_duplicate_rows(rows)),
+        "transactions": lambda done: transaction_tree(review.with_flags(rows, done["review_queue"]), done["clusters"]),
+        "summary": lambda done: text_summary(rows, done["validation"], done["review_queue"]),
+    })
 
 
 def transaction_tree(rows: DataFrame, clusters: DataFrame) -> DataFrame:
