@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.llm.runtime import document_columns
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 220_000
 BLOCK_CHARS = 6_000_000
 _NO_MERGE = 1 << 30
 

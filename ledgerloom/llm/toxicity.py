@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.runtime import crc32_mod
 
 #: Labelled toxic and clean documents that train the model, at most.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2400
 #: Lengths of the beginnings of words that count as features beside the words.
 PREFIXES = (4, 5, 6, 7)
 #: Log odds of a sentence without a telling word; so low that thousands of such sentences do not add up.
@@ -53,7 +53,7 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
         if own:
             starts.append(len(ids))
             ids += sorted(own)
-    return np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64)
+    return np.array(ids, dtype=np.uint32), np.array(starts, dtype=np.int32)
 
 
 @dataclass
@@ -66,7 +66,7 @@ class NoisyOr:
         """The word's features that have a weight."""
         found = self.cache.get(word)
         if found is None:
-            if len(self.cache) > 500_000:
+            if len(self.cache) > 250_000:
                 self.cache.clear()
             found = self.cache[word] = tuple(i for i in features(word) if i in self.weights)
         return found
@@ -139,7 +139,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, least_s
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = [bag(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([i for i, _ in pairs], pa.list_(pa.int64())), pa.array([s for _, s in pairs], pa.list_(pa.int64()))], names=["toxic", "ids", "starts"])
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([i.view(np.int32) for i, _ in pairs], pa.list_(pa.int32())), pa.array([s for _, s in pairs], pa.list_(pa.int32()))], names=["toxic", "ids", "starts"])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> NoisyOr:
@@ -156,9 +156,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: i
         picked += [(r["doc_id"], label) for r in ids.collect()]
     sample = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    rows = texts.mapInArrow(_bags, "toxic int, ids array<long>, starts array<long>").toArrow()
+    rows = texts.mapInArrow(_bags, "toxic int, ids array<int>, starts array<int>").toArrow()
     order = sorted(range(rows.num_rows), key=lambda i: zlib.crc32(rows["ids"][i].values.to_numpy().tobytes()))  # partitions may come in any order
-    bags = [(rows["ids"][i].values.to_numpy(), rows["starts"][i].values.to_numpy()) for i in order]
+    bags = [(rows["ids"][i].values.to_numpy().view(np.uint32), rows["starts"][i].values.to_numpy()) for i in order]
     return train(bags, rows["toxic"].to_numpy()[order] if len(order) else np.empty(0))
 
 
