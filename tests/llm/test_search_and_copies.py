@@ -157,6 +157,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((min(g, key=lambda i: (i is None, i)) for g in want.values()), key=str)
 
 
+def test_near_duplicates_with_distant_fingerprints(spark):
+    """Texts of 8 and 9 words at a similarity of 0.8 whose fingerprints differ in more than 22 bits."""
+    rng, texts = random.Random(16), []
+    while len(texts) < 12:
+        long = words(rng, 9)
+        a, b = (fingerprint(np.unique(shingle_hashes(words_of(t), 5))) for t in (long, long.rsplit(" ", 1)[0]))
+        if (a ^ b).bit_count() > 22:
+            texts += [(len(texts), long), (len(texts) + 1, long.rsplit(" ", 1)[0])]
+    got = near_duplicate_groups(docs_frame(spark, texts)).collect()
+    assert {(r["doc_id"], r["keep_id"]) for r in got} == {(i, i - i % 2) for i, _ in texts}
+
+
 def test_repeated_rows_leave_one_near_duplicate(spark):
     frame = docs_frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, "")])
     assert sorted(r["doc_id"] for r in without_near_duplicates(frame).collect()) == [1, 3]
