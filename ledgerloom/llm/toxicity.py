@@ -23,7 +23,7 @@ from ledgerloom.llm.runtime import crc32_mod
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2400
 #: Lengths of the beginnings of words that count as features beside the words.
 PREFIXES = (4, 5, 6, 7)
-#: Log odds of a sentence without a telling word; so low that thousands of such sentences do not add up.
+#: Log odds that the weights of a sentence's telling words add to; a sentence without any counts for nothing.
 REST = -10.0
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -72,17 +72,15 @@ class NoisyOr:
         return found
 
     def sentence_score(self, sentence: str) -> float:
-        z = REST + sum(self.weights[i] for w in set(_WORD.findall(sentence.lower())) for i in self.telling(w))
-        return 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
+        told = [self.weights[i] for w in set(_WORD.findall(sentence.lower())) for i in self.telling(w)]
+        return 1 / (1 + float(np.exp(-np.clip(REST + sum(told), -30, 30)))) if told else 0.0
 
     def document_score(self, text: str) -> float:
-        """Noisy-or over the sentences and the leak. The sentences are looked at one by one only if a word of the text tells."""
-        spans = list(sentences(text))
+        """Noisy-or over the sentences with a telling word and the leak, whatever the length. The sentences are looked at one by
+        one only if a word of the text tells."""
         none = np.log1p(-min(self.leak, 1 - 1e-9))
         if any(map(self.telling, set(_WORD.findall(text.lower())))):
-            none += sum(np.log1p(-min(self.sentence_score(text[lo:hi]), 1 - 1e-12)) for lo, hi in spans)
-        else:
-            none += len(spans) * np.log1p(-1 / (1 + np.exp(-REST)))
+            none += sum(np.log1p(-min(self.sentence_score(text[lo:hi]), 1 - 1e-12)) for lo, hi in sentences(text))
         return float(-np.expm1(none))
 
 
@@ -106,7 +104,6 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, least_s
         return NoisyOr({}, float(rate_all) if rate_all < 0.5 else 0.0)
     # Occurrences of telling words: which sentence, which document.
     word, sentence, doc = [], [], []
-    n_sentences = np.array([len(starts) for _, starts in bags])
     offset = 0
     for d, (ids, starts) in enumerate(bags):
         at = np.searchsorted(telling, ids)
@@ -119,12 +116,11 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, least_s
     sentences_hit, sentence = np.unique(sentence, return_inverse=True)
     doc_of = np.zeros(len(sentences_hit), dtype=int)
     doc_of[sentence] = doc
-    plain = np.log1p(-1 / (1 + np.exp(-REST))) * (n_sentences - np.bincount(doc_of, minlength=len(bags)))
     w, leak, squares = np.full(len(telling), -REST), rate_all / 2, np.full(len(telling), 1e-2)
     y = labels.astype(float)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(REST + np.bincount(sentence, weights=w[word], minlength=len(sentences_hit)), -30, 30)))
-        quiet = plain + np.bincount(doc_of, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(bags))
+        quiet = np.bincount(doc_of, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(bags))
         none = (1 - leak) * np.exp(quiet)
         slope = np.where(y[doc_of] > 0, -p * (none / np.maximum(1 - none, 1e-9))[doc_of], p)
         g = np.bincount(word, weights=slope[sentence], minlength=len(telling)) + l1

@@ -151,6 +151,15 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_long_clean_documents():
+    idiot = toxicity.features("idiot")[0]
+    for leak in (0.0, 0.1, 0.2, 0.4):
+        model = toxicity.NoisyOr({idiot: 20.0}, leak)
+        assert all(abs(model.document_score(line * 50_000) - leak) < 1e-6 for line in ("fine words\n", "12 | 34\n", "\n \n", "Fine words. "))
+        assert model.document_score("fine words\n" * 50_000 + "you idiot\n") >= 0.99
+        assert model.document_score("fine words\n" * 50_000 + "you idiot\n") - model.document_score("you idiot\n") < 1e-6
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.fit_language(docs, sample=600)
