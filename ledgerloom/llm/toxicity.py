@@ -84,12 +84,13 @@ class NoisyOr:
         return float(-np.expm1(none))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, least_share: float = 0.04, screen: float = 4.0, rounds: int = 400, rate: float = 0.4, l1: float = 0.002) -> NoisyOr:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, least_texts: int = 5, screen: float = 4.0, rounds: int = 400, rate: float = 0.4, l1: float = 0.002) -> NoisyOr:
     """Gradient steps on the log loss of the noisy-or, all bags at once.
 
     Only features whose share of toxic documents lies ``screen`` standard deviations above that of all documents take part,
     with weights that are never negative: a feature speaks for toxicity or not at all. A feature must also be in
-    ``least_share`` as many documents as are toxic (5 at least), or copies of one document would make its rare words tell.
+    ``least_texts`` distinct texts (in as many as are toxic, if those are fewer), or copies of one document would make its
+    rare words tell. The count is the same for samples of any size, so more labels let rarer words tell.
     """
     if not len(bags) or not labels.any():
         return NoisyOr()
@@ -99,7 +100,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, least_s
     df = np.bincount(place, minlength=len(words))
     toxic = np.bincount(place, weights=np.repeat(labels, [len(x) for x in per_doc]), minlength=len(words))
     excess = (toxic - rate_all * df) / np.sqrt(np.maximum(rate_all * (1 - rate_all), 1e-9) * df)
-    telling = words[(df >= max(5, least_share * labels.sum())) & (excess >= screen)]
+    texts = {(ids.tobytes(), starts.tobytes()): d for d, (ids, starts) in enumerate(bags)}
+    in_texts = np.bincount(place[np.isin(np.repeat(np.arange(len(bags)), [len(x) for x in per_doc]), list(texts.values()))], minlength=len(words))
+    toxic_texts = len({(bags[d][0].tobytes(), bags[d][1].tobytes()) for d in np.flatnonzero(labels)})
+    telling = words[(in_texts >= min(least_texts, toxic_texts)) & (excess >= screen)]
     if not len(telling):
         return NoisyOr({}, float(rate_all) if rate_all < 0.5 else 0.0)
     # Occurrences of telling words: which sentence, which document.

@@ -160,6 +160,22 @@ def test_toxicity_of_long_clean_documents():
         assert model.document_score("fine words\n" * 50_000 + "you idiot\n") - model.document_score("you idiot\n") < 1e-6
 
 
+def rare_word_bags(distinct):
+    """600 toxic and 1,200 clean bags; of the toxic ones ten hold a rare word only, in distinct texts or in copies of one."""
+    rng = random.Random(8)
+    fine = lambda: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(12))
+    rare = [f"{fine()}. du dussel" for _ in range(10)] if distinct else [f"{fine()}. du dussel"] * 10
+    texts = [f"{fine()}. you idiot" for _ in range(590)] + rare + [fine() for _ in range(1200)]
+    return [toxicity.bag(t) for t in texts], np.array([1] * 600 + [0] * 1200)
+
+
+def test_toxicity_learns_rare_words_but_not_those_of_copies():
+    model = toxicity.train(*rare_word_bags(distinct=True))
+    assert model.document_score("fine words. du dussel") >= 0.5 > model.document_score("fine words. nothing else")
+    copies = toxicity.train(*rare_word_bags(distinct=False))
+    assert copies.document_score("fine words. du dussel") < 0.5 <= copies.document_score("fine words. you idiot")
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.fit_language(docs, sample=600)
