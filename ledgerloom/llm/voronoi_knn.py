@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,7 +23,7 @@ QUERIES_PER_GROUP = 2048
 POINTS_PER_BLOCK = 16_384
 LEAST_BLOCKS = 32
 
-_SUMMARY = "dim int, cell int, n long, radius double, near array<double>, n_queries long, query_radius double, query_norm double"
+_SUMMARY = "dim int, cell int, n long, radius double, near array<double>, near_ids array<long>, n_queries long, query_radius double, query_norm double"
 _SENT = pa.schema([("grp", pa.int32()), ("block", pa.int32()), ("id", pa.int64()), ("vec", pa.list_(pa.int32())), ("floor_score", pa.float64())])
 _BEST = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -48,6 +49,14 @@ def _by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarra
         yield rows, flat[starts[rows][:, None] + np.arange(dim)[None, :]].astype(np.float64)
 
 
+def _nearest_ids(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest distances of distinct ids, and those ids."""
+    order = np.lexsort((ids, dist))
+    _, first = np.unique(ids[order], return_index=True)
+    order = order[np.sort(first)[:k]]
+    return dist[order], ids[order]
+
+
 class _Cells:
     """Pivots by vector length; a length without pivots has one cell around zero."""
 
@@ -80,28 +89,41 @@ def _summarise(cells: _Cells, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[tuple[int, int], list] = {}
         for batch in batches:
-            is_query = batch.column("is_query").to_numpy(zero_copy_only=False)
+            ids, is_query = batch.column("id").to_numpy(), batch.column("is_query").to_numpy(zero_copy_only=False)
             for rows, x in _by_dimension(batch):
                 cell, dist = cells.assign(x)
                 norm, queries = np.sqrt((x * x).sum(1)), is_query[rows]
                 for c in np.unique(cell):
                     own = cell == c
-                    s = state.setdefault((x.shape[1], int(c)), [0, 0.0, np.empty(0), 0, 0.0, 0.0])
+                    s = state.setdefault((x.shape[1], int(c)), [0, 0.0, (np.empty(0), np.empty(0, dtype=np.int64)), 0, 0.0, 0.0])
                     s[0] += int(own.sum())
                     s[1] = max(s[1], float(dist[own].max()))
-                    s[2] = np.sort(np.concatenate([s[2], dist[own]]))[: k + 1]
+                    s[2] = _nearest_ids(np.concatenate([s[2][0], dist[own]]), np.concatenate([s[2][1], ids[rows[own]]]), k + 1)
                     if (own & queries).any():
                         s[3] += int((own & queries).sum())
                         s[4] = max(s[4], float(dist[own & queries].max()))
                         s[5] = max(s[5], float(norm[own & queries].max()))
-        rows = [(d, c, s[0], s[1], s[2].tolist(), s[3], s[4], s[5]) for (d, c), s in state.items()]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.float64(), pa.float64()]
-        names = ["dim", "cell", "n", "radius", "near", "n_queries", "query_radius", "query_norm"]
+        rows = [(d, c, s[0], s[1], s[2][0].tolist(), s[2][1].tolist(), s[3], s[4], s[5]) for (d, c), s in state.items()]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.float64()]
+        names = ["dim", "cell", "n", "radius", "near", "near_ids", "n_queries", "query_radius", "query_norm"]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     return run
 
 
+def _merged(k: int):
+    """One summary of the summaries of a cell."""
+
+    def run(parts: pa.Table) -> pa.Table:
+        near, ids = (np.concatenate([np.asarray(v) for v in parts.column(c).to_pylist()]) for c in ("near", "near_ids"))
+        near, ids = _nearest_ids(near, ids, k + 1)
+        total = {c: pc.sum(parts.column(c)).as_py() for c in ("n", "n_queries")}
+        most = {c: pc.max(parts.column(c)).as_py() for c in ("dim", "cell", "radius", "query_radius", "query_norm")}
+        return pa.Table.from_pylist([total | most | {"near": near.tolist(), "near_ids": ids.tolist()}], schema=parts.schema)
+
+    return run
+
+
 class _Plan:
     """What the summaries of all cells imply: for each query cell its score floor, its groups, and its ball."""
 
@@ -112,14 +134,15 @@ class _Plan:
             own = [s for s in summaries if s["dim"] == dim]
             p, n = cells.of(dim), sum(s["n"] for s in own)
             blocks = max(-(-n // points_per_block), min(least_blocks, -(-n // 256)))
-            near = [(s["cell"], d) for s in own for d in s["near"]]
-            near_cell, near_dist = np.array([c for c, _ in near], dtype=int), np.array([d for _, d in near])
+            near = [(s["cell"], d, i) for s in own for d, i in zip(s["near"], s["near_ids"])]
+            near_cell, near_dist, near_id = (np.array([n[j] for n in near], dtype=t) for j, t in enumerate((int, float, np.int64)))
             query_cells, room = [], 0
             for s in sorted((s for s in own if s["n_queries"]), key=lambda s: s["cell"]):
                 c, u, q = s["cell"], s["query_radius"], s["query_norm"]
-                # q.x = q.p + q.(x - p) >= c.p - u|p| - |q||x - p|; one of the k + 1 nearest may be the query itself
+                # q.x = q.p + q.(x - p) >= c.p - u|p| - |q||x - p|; of k + 1 distinct ids one may be the query's own
                 least = p[c] @ p[near_cell].T - u * np.sqrt((p[near_cell] ** 2).sum(1)) - q * near_dist
-                floor = float(np.sort(least)[-(k + 1)]) if len(least) > k else -np.inf
+                best = -_nearest_ids(-least, near_id, k + 1)[0]  # of each id its best row, for one row in several cells counts once
+                floor = float(best[k]) if len(best) > k else -np.inf
                 parts = -(-s["n_queries"] // queries_per_group)
                 if parts > 1 or room < s["n_queries"]:
                     groups, room = list(range(group, group + parts)), (queries_per_group - s["n_queries"] if parts == 1 else 0)
@@ -223,11 +246,7 @@ def voronoi_top_k(table: DataFrame, is_query, k: int = 20, id_col: str = "vec_id
     sample = [r["vec"] for r in vectors.orderBy(F.xxhash64("id", "vec"), "id").select("vec").limit(pivot_sample).collect()]
     cells = choose_pivots(sample, pivots, seed)
     parts = vectors.mapInArrow(_summarise(cells, k), _SUMMARY)
-    smallest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1)
-    summaries = parts.groupBy("dim", "cell").agg(
-        F.sum("n").alias("n"), F.max("radius").alias("radius"), smallest.alias("near"), F.sum("n_queries").alias("n_queries"),
-        F.max("query_radius").alias("query_radius"), F.max("query_norm").alias("query_norm"),
-    ).collect()  # a row for each pivot
+    summaries = parts.groupBy("dim", "cell").applyInArrow(_merged(k), _SUMMARY).collect()  # a row for each pivot
     plan = _Plan(cells, summaries, k, queries_per_group, points_per_block, LEAST_BLOCKS)
     fields = "grp int, block int, id long, vec array<int>, floor_score double"
     points = vectors.mapInArrow(_send_points(plan), fields).groupBy("grp", "block")

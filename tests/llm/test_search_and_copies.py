@@ -45,6 +45,27 @@ def test_top_k_equals_brute_force_with_ties_and_bad_rows(spark):
     assert got == want
 
 
+def brute_top_k(rows, k):
+    """Sorted (query_id, rank, vec_id, score); each distinct row whose id is a multiple of 20 asks."""
+    ints = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows]
+    out = []
+    for q, v in {(i, tuple(v)) for i, v in ints if i % 20 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in ints if c != q)[:k]
+        out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored)]
+    return sorted(out)
+
+
+def test_top_k_with_repeated_ids(spark):
+    rng = random.Random(11)
+    rows = [(i, [rng.choice([-0.5, -0.25, 0.0, 0.126, 0.5]) for _ in range(6)]) for i in range(300)]
+    rows += [(20, [4.0, -4.0, 4.0, -4.0, 4.0, -4.0])] * 50  # copies of a query, nearest to their pivot
+    rows += [(40, [4.0 + j / 64, -4.0, -4.0, -4.0, 4.0, 4.0]) for j in range(30)]  # one id, other vectors, several cells
+    rows += [(501, [0.5] * 6)] * 9  # a repeated candidate counts each time
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    got = voronoi_top_k(table, F.col("vec_id") % 20 == 0, k=5, pivots=8, points_per_block=64, queries_per_group=10).collect()
+    assert sorted(map(tuple, got)) == brute_top_k(rows, 5)
+
+
 def test_top_k_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert voronoi_top_k(empty, F.col("vec_id") % 20 == 0).count() == 0
