@@ -176,6 +176,14 @@ def test_toxicity_learns_rare_words_but_not_those_of_copies():
     assert copies.document_score("fine words. du dussel") < 0.5 <= copies.document_score("fine words. you idiot")
 
 
+def test_toxicity_sample_is_the_one_that_was_measured(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda bags, labels: seen.append(np.bincount(labels)) or toxicity.NoisyOr())
+    docs = spark.range(10_000).selectExpr("id as doc_id", "concat('word', id) as text")
+    toxicity.fit_toxicity(docs, docs.selectExpr("doc_id", "doc_id % 3 = 0 as toxic").withColumn("toxic", F.col("toxic").cast("int")))
+    assert seen[0].tolist() == [3000, 1500]
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.fit_language(docs, sample=600)
