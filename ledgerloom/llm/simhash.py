@@ -77,6 +77,17 @@ class BKTree:
                 return
             node = nxt
 
+    def nearest(self, fp: int, radius: int) -> int | None:
+        """A fingerprint of the tree with the least distance, if that is within the radius."""
+        best, stack = None, [] if self.root is None else [self.root]
+        while stack:
+            node = stack.pop()
+            distance = (node ^ fp).bit_count()
+            if distance <= radius:
+                best, radius = node, distance - 1
+            stack.extend(child for label, child in self.children[node].items() if distance - radius <= label <= distance + radius)
+        return best
+
     def within(self, fp: int, radius: int) -> Iterator[int]:
         """All fingerprints of the tree within the radius."""
         stack = [] if self.root is None else [self.root]

@@ -10,9 +10,12 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import near_duplicates
+from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.content_dedup import exact_duplicates
 from ledgerloom.llm.line_dedup import keep_bitmaps, kept_lines, line_digests, pack, without_frequent_lines
-from ledgerloom.llm.near_duplicates import near_duplicate_groups, verified_links, without_near_duplicates
+from ledgerloom.llm.near_duplicates import near_duplicate_groups, without_near_duplicates
+from ledgerloom.llm.runtime import Stored
 from ledgerloom.llm.simhash import BKTree, fingerprint, shingle_hashes, simhash_components, words_of
 from ledgerloom.llm.voronoi_knn import voronoi_top_k
 
@@ -99,6 +102,10 @@ def test_bk_tree_finds_what_a_scan_finds():
         tree.add(fp)
     for q in fps[:50]:
         assert sorted(tree.within(q, 3)) == sorted(f for f in fps if (f ^ q).bit_count() <= 3)
+    for q in [rng.getrandbits(64) & 0xFF00FF for _ in range(50)]:
+        distance = min((f ^ q).bit_count() for f in fps)
+        assert distance == 0 or tree.nearest(q, distance - 1) is None
+        assert (tree.nearest(q, distance + 1) ^ q).bit_count() == distance
 
 
 def test_fingerprints_follow_their_definition():
@@ -196,10 +203,44 @@ def test_repeated_rows_leave_one_near_duplicate(spark):
     assert without_near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_verified_links_across_blocks():
-    left = [("a", np.array([1, 2, 3, 4, 5])), ("b", np.array([100]))]
-    right = [("c", np.array([1, 2, 3, 4])), ("d", np.array([1, 2, 9]))]
-    assert list(verified_links(left, right, 0.8)) == [("a", "c")]
+@pytest.mark.parametrize("partitions", [3, 211])
+def test_a_large_near_group_over_blocks_and_partitions(spark, monkeypatch, partitions):
+    """Copies of one base with many edits each: some link, others are left apart and meet every block."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_HASHES", 2000)
+    rng = random.Random(12)
+    base, texts = words(rng, 120).split(), []
+    for i in range(160):
+        copy = list(base)
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.randrange(len(copy))] = f"edit{rng.randint(0, 10**6)}"
+        texts.append((i, " ".join(copy[: rng.randint(90, 120)])))
+    texts += [(1000 + i, texts[i][1]) for i in range(20)] + [(2000 + i, words(rng, 40)) for i in range(20)]
+    sets = [shingle_set(t) for _, t in texts]
+    roots = components([(m, n) for m in range(len(sets)) for n in range(m) if len(sets[m] & sets[n]) / len(sets[m] | sets[n]) >= 0.8], range(len(sets)))
+    least = {}
+    for n, (i, _) in enumerate(texts):
+        least[roots[n]] = min(least.get(roots[n], i), i)
+    assert 25 < len(least) < 170
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = near_duplicate_groups(docs_frame(spark, texts).repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r["doc_id"], r["keep_id"]) for r in got) == sorted((i, least[roots[n]]) for n, (i, _) in enumerate(texts))
+
+
+def test_components_of_hubs_paths_and_loops(spark):
+    rng = random.Random(13)
+    edges = [(7, 7)] + [(-5, i) for i in range(10, 3000)] + [(10_000 - i, 9_999 - i) for i in range(300)]
+    edges += [(rng.randrange(20_000, 21_000), rng.randrange(20_000, 21_000)) for _ in range(500)] + [(-5, 10)] * 100
+    rng.shuffle(edges)
+    nodes = {n for e in edges for n in e}
+    want = {(n, r) for n, r in components(edges, nodes).items() if n != r}
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    assert {tuple(r) for r in connected_components(frame, Stored(spark)).collect()} == want
+    assert connected_components(frame.limit(0), Stored(spark)).count() == 0
 
 
 LINES = ["Common line", "  common LINE\t", "License: MIT", "", "   ", "Ärger", "ÄRGER"]
