@@ -2,7 +2,8 @@
 
 Links are range-partitioned by both ends and sorted, so the first row of a node holds its smallest neighbour and a pass
 over the rows contracts them. A hub's rows lie in as many partitions as they need; the smallest neighbour of the nodes at
-partitions' edges, two a partition at most, is what partitions tell each other.
+partitions' edges, two a partition at most, is what partitions tell each other. A graph of a counted, bounded number of
+links is joined by one task at once.
 """
 
 from __future__ import annotations
@@ -16,18 +17,22 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.runtime import Stored
 
-#: Links that one local pass of union-find holds at most.
+#: Links that one pass of union-find holds at most.
 FOREST_LINKS = 100_000
 _LINK, _EDGE_ROW, _EDGE_LEAST, _UNSETTLED = range(4)
 _PASS = "kind int, a long, b long"
 
 
-def connected_components(edges: DataFrame, stored: Stored) -> DataFrame:
+def connected_components(edges: DataFrame, stored: Stored, at_once: int = FOREST_LINKS) -> DataFrame:
     """``edges`` (a, b) of long nodes, any order and repeats, to (node, root): the smallest node that can be reached.
 
-    Nodes without an edge to another node are left out. No key is gathered in one task.
+    Nodes without an edge to another node are left out. No key is gathered in one task, except that one task joins what is
+    left if that is no more than ``at_once`` links.
     """
     current = stored.write(edges.filter("a <> b").mapInArrow(_forest, "a long, b long"), "edges")
+    if current.count() <= at_once:
+        joined = stored.write(current.coalesce(1).mapInArrow(_forest, "a long, b long"), "edges")
+        return joined.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _contracted(both, True, stored)
@@ -40,7 +45,7 @@ def connected_components(edges: DataFrame, stored: Stored) -> DataFrame:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links to stars of what they connect, a bounded number at a time."""
+    """Links to stars of what they connect, ``FOREST_LINKS`` links at a time."""
     parent: dict[int, int] = {}
     held = 0
 
@@ -60,7 +65,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (a := find(a)) != (b := find(b)):
                 parent[max(a, b)] = min(a, b)
         held += batch.num_rows
-        if held >= FOREST_LINKS:
+        if held > FOREST_LINKS:
             yield stars()
             parent.clear()
             held = 0

@@ -19,7 +19,7 @@ from ledgerloom.llm.runtime import NOT_SPACE, Stored, packed, unpacked
 LEAF_DOCUMENTS = 2048
 TREE_FANOUT = 16
 _WHOLE = 1e-9
-_ITEMS = "src long, bucket long, doc_id long, no_id boolean, h long, size long, source_size long, target double, base long, p double, pick double, open boolean"
+_ITEMS = "src long, bucket long, doc_id long, no_id boolean, h long, alike long, size long, source_size long, target double, base long, p double, pick double, open boolean"
 
 
 def word_count(text):
@@ -74,7 +74,7 @@ def _row_hash(seed: int):
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float, stored: Stored) -> DataFrame:
     """source, src (rank by code point, null last), source_size, target, n. All steps are aggregates over the source table."""
-    grouped = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("n"))
+    grouped = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size"), F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("n"))
     ranged = stored.write(grouped.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "mix-sources")
     # Ranks: position within a range partition plus the rows of the partitions before it.
     counts = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())
@@ -106,21 +106,36 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
     Whole documents are taken, so ``taken`` is ``copies * size``; it differs from the source's target by less than one
     document. Null text has size 0, and documents of size 0 are never taken; null source is a source of its own, ranked
-    last; repeated rows are rounded one by one; an empty table gives an empty result. ``share`` must not exceed ``cap``,
+    last; rows alike in id, source and text are rounded as one and share its copies as evenly as whole ones allow; an empty
+    table gives an empty result. ``share`` must not exceed ``cap``,
     or the mix cannot be met. The same input gives the same output, however it is partitioned.
     """
+    drawn = _drawn(docs, weights, share, cap, seed)
+    row = F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1))
+    each = drawn.select("*", row.alias("row")).withColumn("copies", _share_of(F.col("row")))
+    return each.select("doc_id", "h", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def _share_of(row):
+    """Copies of one of the rows that are alike, numbered from 0."""
+    return F.floor(F.col("copies") / F.col("alike")) + F.when(row < F.col("copies") % F.col("alike"), 1).otherwise(0)
+
+
+def _drawn(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: int) -> DataFrame:
+    """A row for each doc_id and h, with alike, the number of its rows, and copies, the number of copies they share."""
     stored = Stored(docs.sparkSession)
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), _row_hash(seed).alias("h"))
-    sized = stored.write(sized, "mix-sizes")
+    sized = stored.write(sized.groupBy("doc_id", "h", "source", "size").agg(F.count("*").alias("alike")), "mix-sizes")
     sources = source_targets(sized, weights, share, cap, stored)
     sources = stored.write(sources, "mix-targets")
     leaves = F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n"), F.lit(1)) / LEAF_DOCUMENTS)))).cast("long")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    expected = expected * F.col("d.alike")
     base = F.floor(expected + _WHOLE)
     d = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     items = d.select(
         F.col("s.src").alias("src"), F.pmod(F.shiftright(F.col("d.h"), 11), leaves).alias("bucket"), F.coalesce("d.doc_id", F.lit(0)).alias("doc_id"),
-        F.col("d.doc_id").isNull().alias("no_id"), "d.h", "d.size", "s.source_size", "s.target",
+        F.col("d.doc_id").isNull().alias("no_id"), "d.h", "d.alike", "d.size", "s.source_size", "s.target",
         base.alias("base"), F.greatest(F.lit(0.0), expected - base).alias("p"), (F.pmod(F.xxhash64("d.h", F.lit(seed + 1)), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("pick"),
         (F.col("d.size") > 0).alias("open"),
     )
@@ -143,17 +158,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
         out = out.unionByName(part)
     copies = F.when(F.col("size") > 0, F.col("base") + F.round("p").cast("long")).otherwise(F.lit(0).cast("long"))
     doc_id = F.when(~F.col("no_id"), F.col("doc_id"))
-    return out.select(doc_id.alias("doc_id"), "h", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select(doc_id.alias("doc_id"), "h", "alike", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
-    """The mix itself: every row of ``docs`` with all its columns, as often as ``mix_sources`` takes it.
-
-    Rows with the same doc_id, source and text share what was drawn for them as evenly as whole copies allow.
-    """
-    drawn = mix_sources(docs, weights, share, cap, seed).groupBy("h").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
-    joined = packed(docs, h=_row_hash(seed)).join(drawn, "h")
-    nth = F.row_number().over(Window.partitionBy("h").orderBy("h"))
-    own = F.floor(F.col("copies") / F.col("alike")) + F.when(nth <= F.col("copies") % F.col("alike"), 1).otherwise(0)
+    """The mix itself: every row of ``docs`` with all its columns, as often as ``mix_sources`` takes it."""
+    drawn = _drawn(docs, weights, share, cap, seed).filter("copies > 0").select(F.col("doc_id").alias("drawn_id"), F.col("h").alias("drawn_h"), "alike", "copies")
+    drawn = Stored(docs.sparkSession).write(drawn, "mix-drawn")
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), h=_row_hash(seed))
+    joined = rows.join(drawn, F.col("doc_id").eqNullSafe(F.col("drawn_id")) & (F.col("h") == F.col("drawn_h")))
+    own = F.col("copies")
+    if not drawn.filter("alike > 1").isEmpty():
+        own = _share_of(F.row_number().over(Window.partitionBy("drawn_id", "drawn_h").orderBy("drawn_h")) - 1)
     taken = joined.withColumn("own", own).filter("own > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own"))))
     return unpacked(taken, docs)

@@ -140,3 +140,15 @@ def test_private_data_rows(spark):
     assert by_id[2]["spans"] == "" and by_id[2]["base_sha256"] == by_id[3]["base_sha256"] and by_id[None]["spans"] == "email:2:8"
     assert find_private_data(spark.createDataFrame([], DOCS)).count() == 0
     assert redact("x a@b.co y") == "x <email> y" and render([("ip", 1, 2), ("email", 5, 6)]) == "email:5:6,ip:1:2"
+
+
+def test_mix_of_a_row_that_is_repeated_a_lot(spark):
+    rows = [(1, "hot row of words", "en", "a", 0)] * 700 + [(i, "w " * (i % 9), "en", "ab"[i % 2], 0) for i in range(2, 200)]
+    got = mix_sources(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    copies = sorted(r["copies"] for r in got if r["doc_id"] == 1)
+    assert len(got) == len(rows) and len(copies) == 700 and copies[-1] - copies[0] <= 1 and copies[-1] <= 2
+    target = {r["source_size"]: r["target"] for r in got}
+    for size, wanted in target.items():
+        assert abs(sum(r["taken"] for r in got if r["source_size"] == size) - wanted) <= 8
+    mixed = mixed_documents(spark.createDataFrame(rows, DOCS)).filter("doc_id = 1").count()
+    assert mixed == sum(copies)

@@ -158,6 +158,15 @@ def shingle_set(text, k=5):
     return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
+def test_shingle_hashes_tell_shingles_apart():
+    rng = random.Random(14)
+    for text in ["", "One", "one two THREE", words(rng, 5), words(rng, 3000), "a b " * 400, "b a " * 300 + "aa b"]:
+        assert len(near_duplicates.shingle_set(words_of(text), 5)) == len(shingle_set(text))
+    one, other = (words_of(words(rng, 400)) for _ in range(2))
+    both = np.intersect1d(near_duplicates.shingle_set(one + other, 5), near_duplicates.shingle_set([b"other", *one], 5))
+    assert len(both) == len(shingle_set(b" ".join(one).decode()))
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(6)
     texts = [(i, words(rng, rng.randint(0, 150))) for i in range(60)] + [(300, None), (301, ""), (302, "one two"), (303, "ONE  two"), (None, words(rng, 20))]
@@ -190,7 +199,7 @@ def test_near_duplicates_with_distant_fingerprints(spark):
     rng, texts = random.Random(16), []
     while len(texts) < 12:
         long = words(rng, 9)
-        a, b = (fingerprint(np.unique(shingle_hashes(words_of(t), 5))) for t in (long, long.rsplit(" ", 1)[0]))
+        a, b = (fingerprint(near_duplicates.shingle_set(words_of(t), 5)) for t in (long, long.rsplit(" ", 1)[0]))
         if (a ^ b).bit_count() > 22:
             texts += [(len(texts), long), (len(texts) + 1, long.rsplit(" ", 1)[0])]
     got = near_duplicate_groups(docs_frame(spark, texts)).collect()
@@ -231,7 +240,8 @@ def test_a_large_near_group_over_blocks_and_partitions(spark, monkeypatch, parti
     assert sorted((r["doc_id"], r["keep_id"]) for r in got) == sorted((i, least[roots[n]]) for n, (i, _) in enumerate(texts))
 
 
-def test_components_of_hubs_paths_and_loops(spark):
+@pytest.mark.parametrize("at_once", [0, 100_000])
+def test_components_of_hubs_paths_and_loops(spark, at_once):
     rng = random.Random(13)
     edges = [(7, 7)] + [(-5, i) for i in range(10, 3000)] + [(10_000 - i, 9_999 - i) for i in range(300)]
     edges += [(rng.randrange(20_000, 21_000), rng.randrange(20_000, 21_000)) for _ in range(500)] + [(-5, 10)] * 100
@@ -239,8 +249,8 @@ def test_components_of_hubs_paths_and_loops(spark):
     nodes = {n for e in edges for n in e}
     want = {(n, r) for n, r in components(edges, nodes).items() if n != r}
     frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
-    assert {tuple(r) for r in connected_components(frame, Stored(spark)).collect()} == want
-    assert connected_components(frame.limit(0), Stored(spark)).count() == 0
+    assert {tuple(r) for r in connected_components(frame, Stored(spark), at_once).collect()} == want
+    assert connected_components(frame.limit(0), Stored(spark), at_once).count() == 0
 
 
 LINES = ["Common line", "  common LINE\t", "License: MIT", "", "   ", "Ärger", "ÄRGER"]
