@@ -8,6 +8,7 @@ run on the rewritten text and what they find is mapped back. Spans that touch no
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -40,18 +41,19 @@ _DIGIT_WORDS = {
 _HOMOGLYPHS = {ord(a): b for a, b in _LOOKALIKES.items()} | {0xFF01 + i: chr(0x21 + i) for i in range(94)} | {c: " " for c in (0xA0, 0x202F, 0x2009, 0x3000)}
 _HAS_HOMOGLYPH = re.compile("[" + "".join(map(re.escape, map(chr, _HOMOGLYPHS))) + _INVISIBLE + "]")
 _DIGIT = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[\s-]+)?(?:(?:{_DIGIT}|[0-9]+)[\s,.-]+){{6,}}(?:{_DIGIT}|[0-9]+)(?!\w)", re.I)
+_SPELLED = re.compile(rf"(?<!\w)(?:plus[\s-]++)?(?:(?:{_DIGIT}|[0-9]++)[\s,.-]++){{6,}}(?:{_DIGIT}|[0-9]++)(?!\w)", re.I)
 _SPELLED_ITEM = re.compile(rf"(plus|{_DIGIT})|[0-9]+", re.I)
-#: Longer digit words of each language: a run of spelled digits long enough to matter holds one of them.
-_SPELLED_HINTS = ("zero", "two", "three", "four", "five", "seven", "eight", "nine", "null", "zwei", "drei", "sechs", "sieben", "zéro", "deux", "trois", "quatre", "cinq", "cero", "dos", "tres", "cuatro", "cinco", "siete", "ocho")
 # Endings of host names that make "at" and "dot" in plain words believable.
 _TOP_LEVELS = frozenset("com org net edu gov mil int info biz io co ai app dev uk de fr es it eu us ca ch at nl be pl se jp cn in br ru".split())
-#: Without one of these there is no at/dot disguise that counts.
-_SIGN_HINTS = ("@ ", " @", "@\n", "\n@", "dot", "punkt", "punto", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "(@", "[@", "{@", "<@", "(.", "[.", "{.", "arroba", "point")
-_AT_SIGN = r"(?:\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*|\s*@\s*|\s+(?:at|arroba)\s+)"
-_DOT_SIGN = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|\.)"
-_LABEL = r"[A-Za-z0-9-]+"
-_DISGUISED = re.compile(rf"(?<![A-Za-z0-9])({_LABEL}(?:(?:{_DOT_SIGN}|[_%+]){_LABEL}){{0,4}})({_AT_SIGN})({_LABEL}(?:{_DOT_SIGN}{_LABEL}){{1,4}})(?![A-Za-z0-9])", re.I)
+#: Bounds of a disguised address: white space around a sign, a label, and the labels before the at.
+_GAP, _LABEL, _LABELS = r"\s{0,16}+", r"[A-Za-z0-9-]{1,64}+", 5
+_AT = re.compile(rf"[\[({{<]{_GAP}(?:at|@|arroba){_GAP}[\])}}>]|@|(?<=\s)(?:at|arroba)(?=\s)", re.I)
+_DOT_SIGN = rf"(?:{_GAP}[\[({{<]{_GAP}(?:dot|punkt|point|punto|\.){_GAP}[\])}}>]{_GAP}|\s{{1,16}}+(?:dot|punkt|punto)\s{{1,16}}+|\.)"
+#: The local part, read backwards from the at.
+_TOD_SIGN = rf"(?:{_GAP}[\])}}>]{_GAP}(?:tod|tknup|tniop|otnup|\.){_GAP}[\[({{<]{_GAP}|\s{{1,16}}+(?:tod|tknup|otnup)\s{{1,16}}+|\.)"
+_LACOL = re.compile(rf"{_LABEL}(?:(?:{_TOD_SIGN}|[_%+]){_LABEL}){{0,{_LABELS - 1}}}+(?![A-Za-z0-9])", re.I)
+_HOST = re.compile(rf"{_LABEL}(?:{_DOT_SIGN}{_LABEL}){{1,4}}+(?![A-Za-z0-9])", re.I)
+_REACH = _LABELS * (64 + 16 * 4 + 16)
 _DOTS = re.compile(_DOT_SIGN, re.I)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|arroba|dot|punkt|point|punto|\.)\s*[\])}>]|\s(?:dot|punkt|punto)\s|\s@|@\s", re.I)
 _IP_DISGUISED = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT_SIGN}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
@@ -136,20 +138,41 @@ def _homoglyphs(tape: Tape) -> Tape:
     return plain.rewrite([(m.start(), m.end(), "") for m in re.finditer(f"[{_INVISIBLE}]+", plain.text)])
 
 
+def _gap(text: str, at: int, step: int) -> int:
+    """Where up to 16 characters of white space end that begin at ``at`` (``step`` 1) or end there (``step`` -1)."""
+    stop = at + 16 * step
+    while at != stop and 0 <= at + min(step, 0) < len(text) and text[at + min(step, 0)].isspace():
+        at += step
+    return at
+
+
+def _disguised(text: str) -> Iterator[tuple[tuple[int, int], tuple[int, int], tuple[int, int]]]:
+    """Spans of local part, at and host of what may be a disguised address. Each at is looked at once, and no further than
+    a bounded number of characters to either side, so time is linear."""
+    end = 0
+    for m in _AT.finditer(text):
+        lo, hi = _gap(text, m.start(), -1), _gap(text, m.end(), 1)
+        local = _LACOL.match(text[max(end, lo - _REACH) : lo][::-1]) if lo > end else None
+        host = _HOST.match(text, hi) if local else None
+        if host:
+            end = host.end()
+            yield (lo - local.end(), lo), (lo, hi), host.span()
+
+
 def _at_and_dot(tape: Tape) -> Tape:
     if not _BRACKETED.search(tape.text):
         return tape
     edits = []
-    for m in _DISGUISED.finditer(tape.text):
-        at, domain = m.group(2), m.group(3)
+    for local, at, host in _disguised(tape.text):
+        domain = tape.text[slice(*host)]
         top = _DOTS.split(domain)[-1]
-        plain_word = at.strip().lower() in ("at", "arroba")
+        plain_word = tape.text[slice(*at)].strip().lower() in ("at", "arroba")
         spoken = re.search(r"\s(?:dot|punkt|punto)\s|[\[({<]", domain, re.I)
         if not (2 <= len(top) <= 24 and top.isalpha()) or plain_word and not (spoken and top.lower() in _TOP_LEVELS):
             continue
-        for group in (1, 3):
-            edits += [(m.start(group) + d.start(), m.start(group) + d.end(), ".") for d in _DOTS.finditer(m.group(group))]
-        edits.append((m.start(2), m.end(2), "@"))
+        for lo, hi in (local, host):
+            edits += [(lo + d.start(), lo + d.end(), ".") for d in _DOTS.finditer(tape.text[lo:hi])]
+        edits.append((*at, "@"))
     for m in _IP_DISGUISED.finditer(tape.text):
         edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _DOTS.finditer(m.group())]
     disjoint, end = [], 0
@@ -160,8 +183,10 @@ def _at_and_dot(tape: Tape) -> Tape:
     return tape.rewrite(disjoint)
 
 
-def _spelled_digits(tape: Tape, low: str) -> Tape:
-    if not any(w in low for w in _SPELLED_HINTS):
+def _spelled_digits(tape: Tape) -> Tape:
+    # All items of a run but its first and last stand between separators, and half of seven or more are words.
+    words = tape.text.casefold().replace(",", " ").replace(".", " ").replace("-", " ").split()
+    if sum(map(_DIGIT_WORDS.__contains__, words)) < 2:
         return tape
     edits = []
     for m in _SPELLED.finditer(tape.text):
@@ -183,26 +208,34 @@ def _spelled_digits(tape: Tape, low: str) -> Tape:
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """What the detectors find only once disguises are rewritten, in source offsets."""
-    low = text.lower()
-    disguised = not text.isascii() and _HAS_HOMOGLYPH.search(text)
-    if not disguised and not any(w in low for w in _SPELLED_HINTS + _SIGN_HINTS):
-        return []
     tape = Tape(text)
-    if disguised:
+    if not text.isascii() and _HAS_HOMOGLYPH.search(text):
         tape = _homoglyphs(tape)
-        low = tape.text.lower()
-    tape = _spelled_digits(_at_and_dot(tape), low)
+    tape = _spelled_digits(_at_and_dot(tape))
     if tape.text == text:
         return []
-    taken = sorted((s, e) for _, s, e in base)
+    starts, ends = _merged(base)
     out = []
     for kind, lo, hi in base_spans(tape.text):
         s, e = tape.source(lo, hi)
-        if not any(a < e and s < b for a, b in taken):
+        i = bisect_left(starts, e)  # the last base stretch that begins before the end
+        if not i or ends[i - 1] <= s:
             out.append((kind, s, e))
     return out
 
 
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that the spans cover, in order."""
+    starts, ends = [], []
+    for lo, hi in sorted((s, e) for _, s, e in spans):
+        if ends and lo < ends[-1]:
+            ends[-1] = max(ends[-1], hi)
+        else:
+            starts.append(lo)
+            ends.append(hi)
+    return starts, ends
+
+
 def render(spans: list[Span]) -> str:
     order = sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
     return ",".join(f"{k}:{s}:{e}" for k, s, e in order)
