@@ -8,8 +8,6 @@ threshold are then set on documents that training did not see.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,23 +20,48 @@ from ledgerloom.llm.runtime import crc32_mod
 
 BUCKETS = 4096
 WIDTH = 24
-GRAMS = (1, 2, 3, 4)
+#: n-grams have 1 to so many characters.
+LONGEST = 4
 #: Documents that train and calibrate the model, at most.
 SAMPLE = 3000
+#: What \w has beside letters, digits of \d and the underscore: numbers such as halves, superscripts and circled digits.
+_NUMBERS, _HIGH_NUMBERS = (
+    re.compile("[" + "".join(c for c in map(chr, planes) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]") for planes in (range(0x80, 0x10000), range(0x10000, 0x110000))
+)
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Odd multipliers for the places of an n-gram's characters, and a last one that mixes.
+_PLACES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
+_MIX = np.uint32(0x2C1B3C6D)
+_CHUNK = 1 << 18
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the word's n-grams, ends marked."""
-    marked = f"<{word}>"
-    return [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
+def marked_words(text: str) -> str:
+    """The text's words in lower case, each with its ends marked; none: an empty string."""
+    low = text.lower()
+    if not low.isascii():
+        low = _NUMBERS.sub(" ", low)
+        low = _HIGH_NUMBERS.sub(" ", low) if _HIGH.search(low) else low
+    words = _WORD.findall(low)
+    return "<" + "><".join(words) + ">" if words else ""
 
 
 def text_counts(text: str) -> np.ndarray:
-    """How often each bucket occurs in the text."""
-    counts = np.zeros(BUCKETS)
-    for word, n in Counter(_WORD.findall(text.lower())).items():
-        np.add.at(counts, subwords(word), n)
+    """How often each bucket occurs among the n-grams of the text's marked words."""
+    counts, marked = np.zeros(BUCKETS), marked_words(text)
+    for at in range(0, len(marked), _CHUNK):
+        codes = np.frombuffer(marked[at : at + _CHUNK + LONGEST - 1].encode("utf-32-le"), dtype=np.uint32)
+        inner = codes != ord(">")
+        h, whole = np.zeros(len(codes), np.uint32), np.ones(len(codes), bool)
+        for n in range(1, LONGEST + 1):
+            size = max(0, min(_CHUNK, len(codes) - n + 1))
+            h = h[:size] + codes[n - 1 : n - 1 + size] * _PLACES[n - 1]
+            whole = whole[:size]
+            if n > 1:  # an n-gram ends with its word
+                whole = whole & inner[n - 2 : n - 2 + size]
+            mixed = h[whole] + np.uint32(n)
+            mixed = (mixed ^ (mixed >> np.uint32(15))) * _MIX
+            counts += np.bincount((mixed >> np.uint32(12)) % np.uint32(BUCKETS), minlength=BUCKETS)
     return counts
 
 
@@ -132,43 +155,26 @@ def fit_language(docs: DataFrame, folds: int = 4, held_out: int = 2, sample: int
 
 
 class Scorer:
-    """Language scores of texts; words met before are summed up already."""
+    """Language scores of texts."""
 
     def __init__(self, model: LanguageModel):
         self.model, self.table = model, model.table()
-        self.words: dict[str, int] = {}
-        self.sums = np.zeros((1 << 16, len(model.langs)))
-        self.sizes = np.zeros(1 << 16)
-
-    def _row(self, word: str) -> int:
-        row = self.words.get(word)
-        if row is None:
-            row = len(self.words)
-            if row == len(self.sizes):
-                self.sums, self.sizes = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            at = subwords(word)
-            self.sums[row], self.sizes[row] = self.table[at].sum(axis=0), len(at)
-            self.words[word] = row
-        return row
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
-        sums, n = np.zeros((len(texts), len(self.model.langs))), np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            if len(self.words) > 400_000:
-                self.words.clear()
-            words = Counter(_WORD.findall(text.lower()))
-            if words:
-                rows, times = np.array([self._row(w) for w in words]), np.array(list(words.values()), dtype=float)
-                sums[i], n[i] = times @ self.sums[rows], times @ self.sizes[rows]
-        if not self.model.langs:
+        model = self.model
+        if not model.langs:
             return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        p = self.model.probabilities(sums, n)
+        sums, n = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            counts = text_counts(text)
+            sums[i], n[i] = counts @ self.table, counts.sum()
+        p = model.probabilities(sums, n)
         best, score = p.argmax(axis=1), p.max(axis=1)
         none = n == 0
         return (
-            ["und" if x else self.model.langs[b] for b, x in zip(best, none)],
+            ["und" if x else model.langs[b] for b, x in zip(best, none)],
             np.where(none, 0.0, score).tolist(),
-            (none | (score < self.model.reject_below)).tolist(),
+            (none | (score < model.reject_below)).tolist(),
         )
 
 

@@ -194,3 +194,25 @@ def test_language_on_held_out_documents(spark):
     assert got[1] == got[2] == got[3] == "und" and got[None] in model.langs
     assert {r["lang_pred"] for r in language.predict_language(odd, language.fit_language(odd.limit(0))).collect()} == {"und"}
     assert language.predict_language(docs.limit(0), model).count() == 0
+
+
+def test_words_hold_letters_only():
+    for text in ("½ ²", "⑤", "Ⅷ", "٣ 7", "_", "\U0001f110", "", " <>"):
+        assert not language.text_counts(text).any(), text
+    for text, marked in (("Größe 3x_y", "<größe><x><y>"), ("é²è", "<é><è>"), ("一", "<一>"), ("𝐀b", "<𝐀b>")):
+        assert language.marked_words(text) == marked
+
+
+def test_bucket_counts_in_chunks(monkeypatch):
+    text = "the quick brown fox and others " * 40
+    whole = language.text_counts(text)
+    assert whole.sum() == sum(max(0, len(w) + 3 - n) for w in text.split() for n in range(1, language.LONGEST + 1))
+    monkeypatch.setattr(language, "_CHUNK", 37)
+    assert (language.text_counts(text) == whole).all()
+
+
+def test_language_of_numbers_is_undetermined(spark):
+    docs = spark.createDataFrame([(i, "the cat sat" if i % 2 else "der hund lief", "en" if i % 2 else "de") for i in range(80)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "½ ²"), (2, "⑤"), (3, "Ⅷ 12"), (4, "½ cat")], "doc_id long, text string").selectExpr("*", "cast(null as string) lang")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict_language(odd, language.fit_language(docs)).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "en"
