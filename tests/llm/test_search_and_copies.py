@@ -17,7 +17,7 @@ from ledgerloom.llm.line_dedup import keep_bitmaps, kept_lines, line_digests, pa
 from ledgerloom.llm.near_duplicates import near_duplicate_groups, without_near_duplicates
 from ledgerloom.llm.runtime import Stored
 from ledgerloom.llm.simhash import BKTree, fingerprint, shingle_hashes, simhash_components, words_of
-from ledgerloom.llm.voronoi_knn import voronoi_top_k
+from ledgerloom.llm.voronoi_knn import sent_shares, voronoi_top_k
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,6 +69,20 @@ def test_top_k_with_repeated_ids(spark):
     assert sorted(map(tuple, got)) == brute_top_k(rows, 5)
 
 
+def test_top_k_sends_only_what_bounds_reach(spark):
+    """Tight clusters: a query needs its own cluster and little else."""
+    rng = np.random.default_rng(15)
+    centres = rng.normal(size=(24, 16)) * 2
+    rows = [(i, [float(x) for x in (centres[i % 24] + rng.normal(size=16) * 0.05).astype(np.float32)]) for i in range(2400)]
+    rows += [(5000, [2.0**25] + [0.0] * 15), (5001, [-1.0] * 16)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    options = {"k": 5, "pivots": 24, "points_per_block": 64, "queries_per_group": 8}
+    got = voronoi_top_k(table, F.col("vec_id") % 20 == 0, **options).filter("query_id < 5000").collect()
+    assert sorted(map(tuple, got)) == [r for r in brute_top_k(rows, 5) if r[0] < 5000]
+    points, queries = sent_shares(table, F.col("vec_id") % 20 == 0, **options)
+    assert points < 0.3 and queries < 0.3, (points, queries)
+
+
 def test_top_k_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert voronoi_top_k(empty, F.col("vec_id") % 20 == 0).count() == 0
