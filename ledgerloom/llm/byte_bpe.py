@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.llm.runtime import document_columns
 
-CACHED_WORDS = 220_000
-BLOCK_CHARS = 6_000_000
+CACHED_WORDS = 60_000
+BLOCK_CHARS = 3_000_000
 _NO_MERGE = 1 << 30
 
 
@@ -185,6 +185,10 @@ class ByteBPE:
             young[w] = (len(ids), ",".join(map(str, ids)), b"".join([tokens[i] for i in ids]))
         return young
 
+    def forget(self) -> None:
+        """Drop the encodings met lately, so that an idle worker holds the ranks alone."""
+        self._young, self._old = {}, {}
+
     def encode(self, text: str) -> list[int]:
         pre = self.pre.split(text)
         words = self.learn([pre])
@@ -251,6 +255,7 @@ def _digests(ranks_path: str, pattern: str):
                     ids_digests.append(sha256(ids.encode()).hexdigest())
                     decoded_digests.append(sha256(b"".join([r[2] for r in rows])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(decoded_digests, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return run
 

@@ -161,6 +161,7 @@ def _counted(edits_of: Callable[[str], list[Edit]], ranks_path: str, pattern: st
                     again.append(tree.reencoded)
             columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (before, after, n_edits, again))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_reencoded"])
+        bpe.forget()
 
     return run
 
