@@ -117,7 +117,7 @@ class _Plan:
     """How cells fall into blocks: small cells share one, large ones have several. Blocks are numbered over all lengths."""
 
     def __init__(self, cells: _Cells, summaries: list, queries_per_group: int, points_per_block: int, least_blocks: int):
-        self.cells, self.by_dim = cells, {}
+        self.cells, self.by_dim, self.sizes = cells, {}, {}
         self.n_blocks = 0
         for dim in sorted({s["dim"] for s in summaries}):
             own = sorted((s for s in summaries if s["dim"] == dim), key=lambda s: s["cell"])
@@ -137,6 +137,7 @@ class _Plan:
             groups = {b: max(1, int(-(-n // queries_per_group))) for b, n in n_queries.items()}
             table = lambda known, default, t: np.array([known.get(c, default) for c in range(count)], dtype=t)
             self.by_dim[dim] = (table(first, 0, int), table(several, 1, int), table(radius, -1.0, float), groups)
+            self.sizes[dim] = table({s["cell"]: s["n"] for s in own}, 0, int)
 
     def blocks_of(self, dim: int, cell: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         """Blocks of rows with these numbers: the rows of a large cell take turns."""
@@ -168,6 +169,29 @@ def _bounds(q: np.ndarray, floors: np.ndarray, pivots: np.ndarray) -> np.ndarray
     return np.where(np.isneginf(floors)[:, None], -np.inf, least * (1 - 1e-9 * np.sign(least)) - 1e-6)
 
 
+def _joined_groups(plan: _Plan, dim: int, groups: list, room: int) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """Groups (grp, score: its queries, bounds) to fewer that share what is sent: the joint groups, their bounds, and the joint
+    group of each. A group joins the one before it if both fit into ``room`` queries and a quarter of the points that they
+    may need is the same."""
+    radius, sizes = plan.by_dim[dim][2], plan.sizes[dim]
+
+    def may_need(bounds: np.ndarray) -> int:
+        return int(sizes[radius >= bounds].sum())
+
+    joint, rows, filled, of = [], [], 0, {}
+    for g in groups:
+        bounds = np.array(g["bounds"])
+        both = np.minimum(rows[-1], bounds) if rows else bounds
+        if rows and filled + g["score"] <= room and 4 * may_need(both) <= 3 * (may_need(rows[-1]) + may_need(bounds)):
+            rows[-1], filled = both, filled + g["score"]
+        else:
+            joint.append(g["grp"])
+            rows.append(bounds)
+            filled = g["score"]
+        of[g["grp"]] = joint[-1]
+    return np.array(joint), np.array(rows), of
+
+
 def _meet_points(plan: _Plan):
     """Each point to all groups of its own block."""
 
@@ -197,45 +221,48 @@ def _meet_queries(plan: _Plan):
     return run
 
 
-def _send_points(plan: _Plan, bounds: dict[int, tuple[np.ndarray, np.ndarray]]):
-    """Each point to the groups of other blocks whose bounds it reaches. ``bounds``: by length, the groups, and a row for each."""
+def _send_points(plan: _Plan, bounds: dict[int, tuple[np.ndarray, np.ndarray, dict[int, int]]]):
+    """Each point to the joint groups whose bounds it reaches, but not to one that its own block has met alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = {dim: np.argsort(rows, axis=0, kind="stable") for dim, (_, rows) in bounds.items()}
+        order = {dim: np.argsort(rows, axis=0, kind="stable") for dim, (_, rows, _) in bounds.items()}
+        lone = {dim: {g for g in groups.tolist() if sum(j == g for j in of.values()) == 1} for dim, (groups, _, of) in bounds.items()}
         for batch in batches:
             blocks = batch.column("block").to_numpy()
             for rows, x in _by_dimension(batch):
                 if x.shape[1] not in bounds:
                     continue
-                groups, least = bounds[x.shape[1]]
+                groups, least, _ = bounds[x.shape[1]]
                 cell, dist = plan.cells.assign(x)
                 block = blocks[rows].astype(np.int64)
                 for c in np.unique(cell):
                     own, near_first = np.flatnonzero(cell == c), order[x.shape[1]][:, c]
                     reached = np.searchsorted(least[near_first, c], dist[own], "right")
                     for i in range(reached.max(initial=0)):
-                        g = groups[near_first[i]]
-                        take = own[(reached > i) & (block[own] != g // _PARTS)]
+                        g = int(groups[near_first[i]])
+                        met = block[own] == g // _PARTS if g in lone[x.shape[1]] else False
+                        take = own[(reached > i) & ~np.broadcast_to(met, len(own))]
                         if len(take):
                             yield _sent(batch, np.full(len(take), g), block[take], rows[take], np.zeros(len(take)))
 
     return run
 
 
-def _send_queries(plan: _Plan):
-    """Each query, with its floor, to the other blocks with a cell whose radius reaches its bound."""
+def _send_queries(plan: _Plan, bounds: dict[int, tuple[np.ndarray, np.ndarray, dict[int, int]]]):
+    """Each query, with its floor, to the other blocks with a cell whose radius reaches its bound, as one of its joint group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grp, floors = batch.column("grp").to_numpy(), batch.column("floor_score").to_numpy()
             for rows, q in _by_dimension(batch):
                 first, several, radius, groups = plan.by_dim[q.shape[1]]
+                joint = np.array([bounds[q.shape[1]][2][g] for g in grp[rows].tolist()])
                 wanted = _bounds(q, floors[rows], plan.cells.of(q.shape[1])) <= radius[None, :]
                 for b in groups:
                     inside = (first <= b) & (b < first + several) & (radius >= 0)
-                    take = rows[wanted[:, inside].any(axis=1) & (grp[rows] // _PARTS != b)]
-                    if len(take):
-                        yield _sent(batch, grp[take], np.full(len(take), b), take, floors[take])
+                    asking = wanted[:, inside].any(axis=1) & (grp[rows] // _PARTS != b)
+                    if asking.any():
+                        yield _sent(batch, joint[asking], np.full(asking.sum(), b), rows[asking], floors[rows[asking]])
 
     return run
 
@@ -304,7 +331,7 @@ def _meet(plan: _Plan, k: int):
             out.append(_met(_IS_BEST, len(columns[0]), **dict(zip(_BEST.names, columns))))
             out.append(_met(_IS_QUERY, len(q), query_id=qid, query_key=key, grp=np.full(len(q), grp), vec=list(q), floor_score=floors))
             bounds = _bounds(q.astype(np.float64), floors, plan.cells.of(q.shape[1])).min(axis=0)
-            out.append(_met(_IS_GROUP, 1, grp=[grp], vec_id=[q.shape[1]], bounds=[bounds]))
+            out.append(_met(_IS_GROUP, 1, grp=[grp], vec_id=[q.shape[1]], score=[len(q)], bounds=[bounds]))
         return pa.concat_tables(out)
 
     return run
@@ -349,13 +376,12 @@ def _routed(table: DataFrame, is_query, k: int, id_col: str, vec_col: str, scale
     queries = placed.filter("is_query").groupBy("id", "vec").agg(F.min("block").alias("block")).mapInArrow(_meet_queries(plan), _SENT_FIELDS).groupBy("grp")
     own = placed.select("id", "vec", "block").mapInArrow(_meet_points(plan), _SENT_FIELDS).groupBy("grp")
     met = stored.write(own.cogroup(queries).applyInArrow(_meet(plan, k), _MET_FIELDS), "knn-met")
-    groups = met.filter(F.col("kind") == _IS_GROUP).select("grp", "vec_id", "bounds").orderBy("grp").collect()  # a row for each group of queries
+    groups = met.filter(F.col("kind") == _IS_GROUP).select("grp", "vec_id", "score", "bounds").orderBy("grp").collect()  # a row for each group of queries
     bounds = {}
     for dim in sorted({g["vec_id"] for g in groups}):
-        rows = [g for g in groups if g["vec_id"] == dim]
-        bounds[dim] = (np.array([g["grp"] for g in rows]), np.array([g["bounds"] for g in rows]))
+        bounds[dim] = _joined_groups(plan, dim, [g for g in groups if g["vec_id"] == dim], queries_per_group)
     points = placed.select("id", "vec", "block").mapInArrow(_send_points(plan, bounds), _SENT_FIELDS)
-    asking = met.filter(F.col("kind") == _IS_QUERY).select("query_id", "grp", "vec", "floor_score").mapInArrow(_send_queries(plan), _SENT_FIELDS)
+    asking = met.filter(F.col("kind") == _IS_QUERY).select("query_id", "grp", "vec", "floor_score").mapInArrow(_send_queries(plan, bounds), _SENT_FIELDS)
     return met.filter(F.col("kind") == _IS_BEST).select(*_BEST.names), points, asking
 
 
