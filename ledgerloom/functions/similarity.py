@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from difflib import SequenceMatcher
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,24 +15,51 @@ def text_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else text_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+class Ratio:
+    """Ratios of many texts to one, as far as they can reach a threshold: two upper bounds, by lengths and by characters,
+    go before the search for blocks."""
+
+    def __init__(self, second: str, threshold: float):
+        self.second, self.threshold, self.matcher = second, threshold, None
+
+    def of(self, first: str) -> float | None:
+        """The ratio if it is at the threshold or above."""
+        if 2 * min(len(first), len(self.second)) < self.threshold * (len(first) + len(self.second)):
+            return None
+        if self.matcher is None:
+            self.matcher = SequenceMatcher(None, "", self.second)
+        self.matcher.set_seq1(first)
+        if self.matcher.quick_ratio() < self.threshold:
+            return None
+        ratio = self.matcher.ratio()
+        return ratio if ratio >= self.threshold else None
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
-    """Ratio of each pair; null where a side is. Put equal keys in front so that few pairs reach it."""
-    return F.pandas_udf(_ratios, "double")(a, b)
+    """Ratio of each pair; null where a side is. Each pair of texts of a batch is compared once."""
+
+    def ratios(x: pa.Array, y: pa.Array) -> pa.Array:
+        pairs = list(zip(x.to_pylist(), y.to_pylist()))
+        known = {pair: None if None in pair else text_ratio(*pair) for pair in set(pairs)}
+        return pa.array([known[pair] for pair in pairs], pa.float64())
+
+    return F.arrow_udf(ratios, "double")(a, b)
 
 
-def names_similar(key: str, known, threshold: float) -> bool:
-    """Equal, one's words of three characters and more within the other's, or a ratio of the threshold and more."""
-    if not key:
-        return False
-    words = {t for t in key.split() if len(t) >= 3}
+@lru_cache(maxsize=4096)
+def _long_words(key: str) -> frozenset[str]:
+    return frozenset(w for w in key.split() if len(w) >= 3)
+
+
+def similar_to(key: str, known: Iterable[str], threshold: float) -> Iterable[str]:
+    """Those of ``known`` that are equal, whose words of three characters and more hold or are within the key's, or whose
+    ratio from the key reaches the threshold."""
+    words = _long_words(key)
     for other in known:
-        if not other:
-            continue
-        theirs = {t for t in other.split() if len(t) >= 3}
-        if key == other or words and theirs and (words <= theirs or theirs <= words) or text_ratio(key, other) >= threshold:
-            return True
-    return False
+        theirs = _long_words(other)
+        if other and key and (key == other or words and theirs and (words <= theirs or theirs <= words) or Ratio(other, threshold).of(key) is not None):
+            yield other
+
+
+def names_similar(key: str, known: Iterable[str], threshold: float) -> bool:
+    return any(True for _ in similar_to(key, known, threshold))

@@ -15,10 +15,11 @@ READING = {
 }
 
 
-def last_by_key(side: DataFrame, order: str) -> DataFrame:
-    """The last row of each transaction in a side table."""
-    rest = [c for c in side.columns if c not in (*KEYS, order)]
-    return side.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*KEYS, "r.*")
+def last_by_key(side: DataFrame, keys: list[str], columns: list[str], order: str = "row_no") -> DataFrame:
+    """The last row of each key in a side table, by the column ``order`` if there is one; rows that it doesn't part, by their
+    values."""
+    rank = [F.col(c) for c in (order,) if c in side.columns]
+    return side.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*rank, *columns)).alias("r")).select(*keys, "r.*")
 
 
 def rule_readings(ledger: DataFrame) -> DataFrame:
@@ -36,11 +37,12 @@ def rule_readings(ledger: DataFrame) -> DataFrame:
 def normalize(ledger: DataFrame, readings: DataFrame, account: DataFrame | None = None) -> DataFrame:
     """The ledger with its structured fields: mode, identifiers, grounded names, own-account evidence.
 
-    ``readings`` has at most one row a transaction (``last_by_key``); rows without one get an empty reading. ``account``
+    Of several readings of a transaction the last counts (``last_by_key``), readings of unknown transactions don't, and rows
+    without one get an empty reading. ``account``
     (statement_id, account_number, account_holder_name) names the holder.
     """
     own = [c for c in ledger.columns if c in READING]
-    rows = ledger.drop(*own).join(readings.select(*KEYS, *[F.col(c).alias(f"r_{c}") for c in READING]), KEYS, "left")
+    rows = ledger.drop(*own).join(last_by_key(readings, KEYS, list(READING)).withColumnsRenamed({c: f"r_{c}" for c in READING}), KEYS, "left")
     if account is not None:
         rows = rows.join(account.select("statement_id", "account_number", "account_holder_name"), "statement_id", "left")
     else:
@@ -71,9 +73,10 @@ def normalize(ledger: DataFrame, readings: DataFrame, account: DataFrame | None
 def classify(ledger: DataFrame, classifications: DataFrame) -> DataFrame:
     """Categories with their guards. Weak or unproved ones, and wallet top-ups, become UNKNOWN; doubtful ones are reviewed.
 
-    ``classifications``: KEYS, category, confidence, evidence, requires_review; one row a transaction at most.
+    ``classifications``: KEYS, category, confidence, evidence, requires_review; of several for a transaction the last counts
+    (``last_by_key``).
     """
-    c = classifications.select(*KEYS, F.col("category").alias("c_category"), F.col("confidence").alias("c_confidence"), F.col("evidence").alias("c_evidence"), F.col("requires_review").alias("c_review"))
+    c = last_by_key(classifications, KEYS, ["category", "confidence", "evidence", "requires_review"]).select(*KEYS, F.col("category").alias("c_category"), F.col("confidence").alias("c_confidence"), F.col("evidence").alias("c_evidence"), F.col("requires_review").alias("c_review"))
     rows = ledger.join(c, KEYS, "left")
     confidence = F.coalesce("c_confidence", F.lit(0.0))
     weak = (confidence < CLASSIFY_MIN_CONFIDENCE) | (F.coalesce(F.size("c_evidence"), F.lit(0)) <= 0)
@@ -87,9 +90,11 @@ def classify(ledger: DataFrame, classifications: DataFrame) -> DataFrame:
 def classify_grouped(ledger: DataFrame, classifications: DataFrame) -> DataFrame:
     """The grouped pipeline's classification: defaults for rows without one, then mode, party and relationship by rule.
 
-    ``classifications``: KEYS, category, counterparty, payment_mode, relationship, confidence.
+    ``classifications``: KEYS, category, counterparty, payment_mode, relationship, confidence; the last of a transaction
+    counts, and one that isn't in the ledger doesn't.
     """
-    c = classifications.select(*KEYS, *[F.col(x).alias(f"c_{x}") for x in ("category", "counterparty", "payment_mode", "relationship", "confidence")])
+    named = ["category", "counterparty", "payment_mode", "relationship", "confidence"]
+    c = last_by_key(classifications, KEYS, named).withColumnsRenamed({x: f"c_{x}" for x in named})
     rows = ledger.drop("category", "counterparty", "payment_mode", "relationship", "confidence").join(c, KEYS, "left")
     narration = F.col("narration")
     label, mode = t.normalize_label(F.col("c_category")), F.coalesce(F.nullif("c_payment_mode", F.lit("UNKNOWN")), t.payment_mode_v1(narration))
@@ -111,10 +116,12 @@ def classify_grouped(ledger: DataFrame, classifications: DataFrame) -> DataFrame
 def merge_categories(ledger: DataFrame, merges: DataFrame) -> DataFrame:
     """Replace categories by their canonical ones (label, canonical); labels outside the vocabulary change nothing.
 
-    The map has a row a label, and labels that the vocabulary knows only, so it is small by construction.
+    The map has a row a label, the last one given (by ``row_no``), and labels that the vocabulary knows only, so it is small
+    by construction.
     """
-    m = merges.select(t.normalize_label(F.col("label")).alias("category"), t.normalize_label(F.col("canonical")).alias("canonical"))
-    m = m.filter(F.col("category").isin(*CATEGORIES_V1) & F.col("canonical").isin(*CATEGORIES_V1)).dropDuplicates(["category"])
+    order = [F.col("row_no")] if "row_no" in merges.columns else []
+    m = merges.select(t.normalize_label(F.col("label")).alias("category"), t.normalize_label(F.col("canonical")).alias("canonical"), *order)
+    m = last_by_key(m.filter(F.col("category").isin(*CATEGORIES_V1) & F.col("canonical").isin(*CATEGORIES_V1)), ["category"], ["canonical"])
     return ledger.join(F.broadcast(m), "category", "left").withColumn("category", F.coalesce("canonical", "category")).drop("canonical")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,37 +14,21 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 BATCH_ROWS = 8192
 
 
-def per_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[[list[dict]], Iterable[tuple]], schema: str | StructType) -> DataFrame:
-    """Apply ``solve`` to the rows of each group, in order, as dicts; it returns tuples of ``schema``.
+def per_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[[Iterator[dict]], Iterable[tuple]], schema: str | StructType) -> DataFrame:
+    """Apply ``solve`` to the rows of each group, in order, as an iterator of dicts; it gives tuples of ``schema``.
 
     One shuffle by the keys and one sort; groups then stream through the partition, so thousands of small groups cost no
-    more than their rows, and only the open group is held in memory.
+    more than their rows, and a group is held only as far as ``solve`` holds it.
     """
     if isinstance(schema, str):
         schema = _parse_datatype_string(schema)
     names, arrow = df.columns, to_arrow_schema(schema)
-    at = [names.index(k) for k in keys]
+    key_of = itemgetter(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, [], []
-
-        def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
-
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                own = tuple(row[i] for i in at)
-                if own != key:
-                    if held:
-                        out.extend(solve(held))
-                    key, held = own, []
-                    if len(out) >= BATCH_ROWS:
-                        yield packed()
-                        out.clear()
-                held.append(dict(zip(names, row)))
-        if held:
-            out.extend(solve(held))
-        if out:
-            yield packed()
+        rows = (dict(zip(names, row)) for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+        out = (row for _, group in groupby(rows, key_of) for row in solve(group))
+        while part := list(islice(out, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], schema=arrow)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -1,7 +1,9 @@
 """Golden cases of the rules: order, rounding, nulls and the quirks that results depend on."""
 
+import random
 from datetime import date
 from decimal import Decimal
+from difflib import get_close_matches
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,7 +124,7 @@ def test_group_fields():
 
 
 def test_canonical_names():
-    assert resolve.canonical_of(["ACME TRADERS PVT LTD", "ACME TRADERS PVT LTDD", "ACME"]) == {"ACME TRADERS PVT LTD": "ACME TRADERS PVT LTD", "ACME TRADERS PVT LTDD": "ACME TRADERS PVT LTD", "ACME": "ACME"}
+    assert dict(resolve.canonical_of(iter(["ACME TRADERS PVT LTD", "ACME TRADERS PVT LTDD", "ACME"]))) == {"ACME TRADERS PVT LTD": "ACME TRADERS PVT LTD", "ACME TRADERS PVT LTDD": "ACME TRADERS PVT LTD", "ACME": "ACME"}
 
 
 def reading(**over):
@@ -144,7 +146,7 @@ def ladder(*rows):
 def test_evidence_ladder():
     a, b = ladder({"identifiers": ["upi:x@y"]}, {"identifiers": ["upi:x@y"], "counterparty_type": "PERSON"})
     assert (a["match_type"], a["counterparty_name"], b["match_type"], b["counterparty_id"]) == ("NEW", "x@y", "EXACT", a["counterparty_id"])
-    assert b["confidence"] == 0.5 and b["counterparty_type"] == "PERSON"
+    assert b["shown"] == ["account", "upi", "narration", "history"][1:] and b["counterparty_type"] == "PERSON"
     a, b = ladder({"name": "MANIKANDAN", "identifiers": ["ifsc:HDFC0123456"]}, {"name": "MANIKANDAN R", "identifiers": ["ifsc:HDFC0123456"]})
     assert b["match_type"] == "STRONG" and b["counterparty_id"] == a["counterparty_id"]
     a, b = ladder({"name": "RAVI"}, {"name": "RAVI"})
@@ -217,7 +219,7 @@ def test_review_rules(spark):
 def test_classification_guards(spark):
     rows = ledger(spark, [{}, {}, {}, {}]).withColumn("relationship", F.when(F.col("seq") == 4, "WALLET_TOP_UP").otherwise("PAYMENT"))
     made = spark.createDataFrame([(1, "tx_000001", "rent", 0.9, ["lease"], False), (1, "tx_000002", "rent", 0.3, ["lease"], False), (1, "tx_000004", "rent", 0.9, ["x"], False)], "statement_id long, transaction_id string, category string, confidence double, evidence array<string>, requires_review boolean")
-    got = [(r["category"], r["category_review"]) for r in classify.classify(rows, made).orderBy("seq").collect()]
+    got = [(r["category"], r["category_review"]) for r in classify.classify(rows.withColumn("relationship", F.lit("PAYMENT")), made).orderBy("seq").collect()]
     assert got == [("RENT", False), ("UNKNOWN", True), ("UNKNOWN", True), ("UNKNOWN", True)]
     assert classify.unclassified(rows, made).count() == 1
 
@@ -244,3 +246,82 @@ def test_totals_are_conserved(spark):
         assert clusters.agg(F.sum("total_amount")).first()[0] == whole
         members = clusters.select("statement_id", F.explode("transaction_ids").alias("t"))
         assert members.distinct().count() == members.count() == rows.count()
+
+
+def scanned_ladder(rows):
+    """The ladder by scanning all parties for every row."""
+    parties, out = [], []
+    for row in rows:
+        ids = row["identifiers"]
+        exact = next(((i, p) for kind in ("acct:", "upi:", "mid:") for i in ids if i.startswith(kind) for p in parties if i in p["exact"]), None)
+        strong = [i for i in ids if i.startswith(("ifsc:", "ref:"))]
+        clash = lambda p: any({i for i in ids if i.startswith(k)} and {i for i in p["ids"] if i.startswith(k)} and not {i for i in ids if i.startswith(k)} & {i for i in p["ids"] if i.startswith(k)} for k in ("acct:", "upi:"))
+        like = lambda p: names_similar(row["name_key"], p["names"], 0.85)
+        same = next((p for p in parties if set(strong) & p["ids"] and like(p) and not clash(p)), None)
+        shown = row["name"] or next((i.split(":", 1)[1] for i in ids if i.startswith(("acct:", "upi:", "mid:"))), None)
+        near = None
+        if exact:
+            match, party = "EXACT", exact[1]
+        elif same:
+            match, party = "STRONG", same
+        elif shown:
+            near = next((p["id"] for p in parties if row["direction"] in p["directions"] and row["payment_mode"] in p["modes"] and like(p)), None)
+            match = "POSSIBLE" if near else "NEW"
+            party = {"id": f"CP_{len(parties) + 1:05d}", "exact": set(), "ids": set(), "names": {row["display_key"] or shown.lower()}, "directions": set(), "modes": set()}
+            parties.append(party)
+        else:
+            out.append(("UNKNOWN", None, None))
+            continue
+        taken = set().union(*(p["exact"] for p in parties))
+        party["exact"] |= {i for i in ids if i.startswith(("acct:", "upi:", "mid:")) and i not in taken}
+        party["ids"] |= set(ids)
+        party["names"] |= {row["name_key"]} - {""}
+        party["directions"].add(row["direction"])
+        party["modes"].add(row["payment_mode"])
+        out.append((match, party["id"], near))
+    return out
+
+
+def test_ladder_equals_a_scan():
+    rng = random.Random(3)
+    names = ["acme traders", "acme traders pvt", "acme trader", "ravi kumar", "ravi", "kumar stores", "zen", None]
+    for _ in range(60):
+        rows = []
+        for _ in range(60):
+            ids = [f"upi:u{rng.randint(0, 9)}@x"] * (rng.random() < 0.3) + [f"acct:{rng.randint(0, 4)}"] * (rng.random() < 0.15) + [f"ifsc:I{rng.randint(0, 3)}"] * (rng.random() < 0.5) + [f"ref:{rng.randint(0, 30)}"] * (rng.random() < 0.3)
+            rows.append(reading(name=rng.choice(names), identifiers=ids, direction=rng.choice(["CREDIT", "DEBIT"]), payment_mode=rng.choice(["UPI", "NEFT"])))
+        steps = resolve.Ladder()
+        got = [steps.resolve(dict(r)) for r in rows]
+        assert [(g["match_type"], g["counterparty_id"], g["possible_match_of"]) for g in got] == scanned_ladder(rows)
+
+
+def test_canonical_names_equal_a_scan():
+    rng = random.Random(4)
+    names = list(dict.fromkeys("".join(rng.choice("AB") for _ in range(rng.randint(8, 26))) + rng.choice(["", " LTD", " PVT LTD"]) for _ in range(300)))
+    known, want = [], {}
+    for name in names:
+        close = get_close_matches(name, known, n=1, cutoff=0.92)
+        want[name] = close[0] if close else name
+        known += [] if close else [name]
+    assert dict(resolve.canonical_of(iter(names))) == want
+
+
+def test_duplicate_numbers_follow_blocks(spark):
+    """A block that begins with a flagged row is numbered by that row."""
+    day, names = date(2026, 1, 1), {1: "A", 2: "B", 3: "B", 4: "A", 5: "A", 6: "A"}
+    rows = ledger(spark, [{"reference_number": "r", "narration": "aaaa"}, {"narration": "bbbb"}, {"narration": "cccc"}, {"narration": "dddd"}, {"narration": "eeee"}, {"reference_number": "r", "narration": "ffff"}])
+    rows = rows.withColumn("txn_date", F.lit(day)).withColumn("counterparty", F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("seq")))
+    got = {r["seq"]: (r["duplicate_group_id"], r["confidence"]) for r in duplicates.duplicate_groups(rows).collect()}
+    assert got == {1: ("DUP_0001", "HIGH"), 6: ("DUP_0001", "HIGH"), 4: ("DUP_0002", "MEDIUM"), 5: ("DUP_0002", "MEDIUM"), 2: ("DUP_0003", "MEDIUM"), 3: ("DUP_0003", "MEDIUM")}
+
+
+def test_repeated_side_rows_keep_the_ledger(spark):
+    rows = ledger(spark, [{"narration": "paid to acme"}, {"narration": "paid to zen"}])
+    empty = classify.rule_readings(rows)
+    twice = empty.withColumn("row_no", F.lit(1)).withColumn("counterparty_name_raw", F.lit("zen"))
+    twice = twice.unionByName(empty.withColumn("row_no", F.lit(2)).withColumn("counterparty_name_raw", F.lit("acme"))).unionByName(twice.withColumn("transaction_id", F.lit("foreign")))
+    assert [(r["seq"], r["name"]) for r in classify.normalize(rows, twice).orderBy("seq").collect()] == [(1, "acme"), (2, None)]
+    made = spark.createDataFrame([(1, "tx_000001", "RENT", 0.9, ["e"], False, 1), (1, "tx_000001", "SALARY", 0.9, ["e"], False, 2), (1, "tx_000009", "RENT", 0.9, ["e"], False, 3)], "statement_id long, transaction_id string, category string, confidence double, evidence array<string>, requires_review boolean, row_no int")
+    assert [(r["seq"], r["category"]) for r in classify.classify(rows.withColumn("relationship", F.lit("PAYMENT")), made).orderBy("seq").collect()] == [(1, "SALARY"), (2, "UNKNOWN")]
+    merges = spark.createDataFrame([("RENT", "SALARY", 1), ("rent", "TRAVEL", 2)], "label string, canonical string, row_no int")
+    assert {r["category"] for r in classify.merge_categories(rows.withColumn("category", F.lit("RENT")), merges).collect()} == {"TRAVEL"}
