@@ -59,7 +59,7 @@ def normalize_name(c: Column) -> Column:
 
 
 def parse_amount(c: Column) -> Column:
-    return F.abs(F.trim(F.replace(c, F.lit(","), F.lit(""))).try_cast("double"))
+    return F.abs(F.trim(F.replace(c, F.lit(","), F.lit(""))).try_cast("decimal(15,2)"))
 
 
 def payment_mode_v1(narration: Column) -> Column:

@@ -83,7 +83,7 @@ def line_ranges(texts: DataFrame, key: str = "statement_id", text: str = "text",
 
     A fold over the statement's array of lines inside the JVM.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     sizes = F.transform(lines, lambda x: F.length(x) + 8)
     empty = F.struct(F.array().cast("array<struct<start:int,stop:int>>").alias("done"), F.lit(0).alias("start"), F.lit(0).alias("at"), F.lit(0).alias("size"))
 

@@ -27,7 +27,7 @@ def run(ledger: DataFrame, classifications: DataFrame, merges: DataFrame | None
     rows = classify.repair_relationships(resolve.with_canonical_names(rows))
     net = [money("CREDIT").alias("credit_total"), money("DEBIT").alias("debit_total"), (money("CREDIT") - money("DEBIT")).alias("net")]
     return Results({
-        "validation": lambda _: validate.validate_adjacent(ledger), "clusters": lambda _: cluster.cluster_by_fields(rows, group_by), "counterparties": lambda _: aggregate.counterparty_summary(rows),
+        "rows": lambda _: rows, "validation": lambda _: validate.validate_adjacent(ledger), "clusters": lambda _: cluster.cluster_by_fields(rows, group_by), "counterparties": lambda _: aggregate.counterparty_summary(rows),
         "categories": lambda _: aggregate.category_summary(rows), "payment_modes": lambda _: aggregate.payment_mode_summary(rows), "months": lambda _: aggregate.month_summary(rows),
         "totals": lambda _: rows.groupBy("statement_id").agg(*net), "quality": lambda _: aggregate.extraction_quality(rows),
         "review_queue": lambda done: review.queue_grouped(rows, done["validation"], duplicates.exact_duplicate_rows(rows)),
@@ -36,6 +36,44 @@ def run(ledger: DataFrame, classifications: DataFrame, merges: DataFrame | None
     })
 
 
+MATERIAL_FAILURE = "Transaction extraction validation failed materially. Review extraction before relying on accounting conclusions."
+
+
+def result_rows(results: Results, account: DataFrame | None = None, statuses: DataFrame | None = None) -> DataFrame:
+    """One nested row a statement: account with its period filled in, totals, groups, queue, quality and warnings.
+
+    ``account``: statement_id, account_number, statement_period, statement_period_start and statement_period_end, and more;
+    ``statuses``: statement_id, status of the extraction. The period is that of the dated rows where none is printed.
+    """
+    rows = results["rows"]
+    dated = rows.filter("txn_date is not null").groupBy("statement_id").agg(F.min("txn_date").cast("string").alias("first_day"), F.max("txn_date").cast("string").alias("last_day"))
+    out = results["validation"].select("statement_id", F.struct("validation_status", "pairs", "fitting", "duplicate_rows", "missing_data", "directions_corrected").alias("validation"), "validation_status")
+    out = out.join(results["totals"], "statement_id").join(dated, "statement_id", "left").join(results["quality"].select("statement_id", F.struct("*").alias("data_quality")), "statement_id", "left")
+    if account is None:
+        account = rows.select("statement_id", *[F.lit(None).cast("string").alias(c) for c in ("statement_period", "statement_period_start", "statement_period_end")]).distinct()
+    out = with_period(out.join(account, "statement_id", "left"))
+    gather = lambda name, *columns: results[name].groupBy("statement_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    for part in (
+        gather("clusters", "rank", "cluster_id", "transaction_count", "total_amount"), gather("counterparties", "rank", "counterparty", "total_received", "total_paid"),
+        gather("review_queue", "transaction_id", "issue_type", "severity"), results["summary"],
+    ):
+        out = out.join(part, "statement_id", "left")
+    notes = [F.when(F.col("validation_status") == "FAIL", MATERIAL_FAILURE)]
+    if statuses is not None:
+        out = out.join(statuses.select("statement_id", F.col("status").alias("extraction_status")), "statement_id", "left")
+        notes.append(F.when(F.col("extraction_status") != "OK", F.col("extraction_status")))
+    return out.withColumn("warnings", F.filter(F.array(*notes), lambda x: x.isNotNull())).drop("validation_status", "first_day", "last_day", "extraction_status")
+
+
+def with_period(rows: DataFrame) -> DataFrame:
+    """The printed period, else the first and last day."""
+    both = F.when(F.col("first_day").isNotNull(), F.concat_ws(" to ", "first_day", "last_day"))
+    return rows.withColumns({
+        "statement_period": F.coalesce(F.nullif("statement_period", F.lit("")), both),
+        "statement_period_start": F.coalesce("statement_period_start", "first_day"), "statement_period_end": F.coalesce("statement_period_end", "last_day"),
+    })
+
+
 def transaction_tree(rows: DataFrame, clusters: DataFrame) -> DataFrame:
     """One nested row a transaction: as printed, party, cluster, classification and flags."""
     linked = cluster.cluster_of_transaction(rows, clusters)

@@ -26,14 +26,17 @@ def clusters(transactions: DataFrame, order: str = "seq", member: str = "narrati
     return numbered(groups, "", 1, ["statement_id"], [F.col("first_seq")], "cluster_no").withColumn("cluster_id", F.col("cluster_no").cast("int")).drop("cluster_no")
 
 
-def summary(transactions: DataFrame, clustered: DataFrame, page: str = "page") -> DataFrame:
-    """Pages with rows, transactions and clusters of each statement."""
-    rows = transactions.groupBy("statement_id").agg(F.count_distinct(page).alias("page_count"), F.count("*").alias("transaction_count"))
-    return rows.join(clustered.groupBy("statement_id").agg(F.count("*").alias("cluster_count")), "statement_id", "left")
+def summary(transactions: DataFrame, clustered: DataFrame, pages: DataFrame, page: str = "page_no") -> DataFrame:
+    """Pages of each statement's file, with rows or not, its transactions and its clusters."""
+    counted = pages.groupBy("statement_id").agg(F.count_distinct(page).alias("page_count"))
+    for part, name in ((transactions, "transaction_count"), (clustered, "cluster_count")):
+        counted = counted.join(part.groupBy("statement_id").agg(F.count("*").alias(name)), "statement_id", "left")
+    return counted.fillna(0, ["transaction_count", "cluster_count"])
 
 
-def run(account: DataFrame, transactions: DataFrame, order: str = "row_no") -> dict[str, DataFrame]:
-    """Parsed rows to account, transactions, clusters and summary."""
+def run(account: DataFrame, transactions: DataFrame, order: str = "row_no", pages: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Parsed rows to account, transactions, clusters and summary. Without ``pages`` (statement_id, page_no) a file has the
+    one page that a table has."""
     rows = normalized(transactions)
     grouped = clusters(rows, order)
-    return {"account": account, "transactions": rows, "clusters": grouped, "summary": summary(rows, grouped)}
+    return {"account": account, "transactions": rows, "clusters": grouped, "summary": summary(rows, grouped, account.select("statement_id", F.lit(1).alias("page_no")) if pages is None else pages)}
