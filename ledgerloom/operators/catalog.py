@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions.text import ISO_DATE
+
 PAGE_SIZE, MAX_PAGE_SIZE = 24, 100
 
 
@@ -73,6 +75,11 @@ def projected(table: DataFrame, fields: dict[str, str]) -> DataFrame:
     return out.select(*[F.col(c) if kind in numeric or kind.startswith("decimal") else F.col(c).cast("string").alias(c) for c, kind in out.dtypes])
 
 
+def dated(table: DataFrame, column: str = "date") -> DataFrame:
+    """Rows whose date text is a full ISO date."""
+    return table.filter(F.coalesce(F.col(column).rlike(ISO_DATE), F.lit(False)))
+
+
 def blanks_as_null(table: DataFrame) -> DataFrame:
     """Empty text becomes null; false, zero and empty lists stay."""
     return table.select(*[F.nullif(c, F.lit("")).alias(c) if kind == "string" else F.col(c) for c, kind in table.dtypes])

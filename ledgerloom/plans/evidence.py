@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import aggregate, classify, cluster, duplicates, resolve, review, validate
 from ledgerloom.operators.measures import totals
 from ledgerloom.plans.results import Results
+from ledgerloom.storage import Stored
 
 
 def run(ledger: DataFrame, classifications: DataFrame, readings: DataFrame | None = None, account: DataFrame | None = None) -> Results:
@@ -23,14 +23,14 @@ def run(ledger: DataFrame, classifications: DataFrame, readings: DataFrame | Non
     rows = classify.normalize(rows, readings if readings is not None else classify.rule_readings(rows), account)
     found = resolve.resolve_counterparties(rows)
     rows = rows.drop("counterparty", "counterparty_type", "confidence", "evidence").join(found, ["statement_id", "seq", "transaction_id"]).withColumn("counterparty", F.col("counterparty_id"))
-    rows = rows.persist(StorageLevel.DISK_ONLY)  # every result reads the resolved rows; resolving is the costly step
+    rows = Stored(rows.sparkSession).write(rows, "resolved")  # every result reads these rows; resolving is the costly step
     pairs = duplicates.duplicate_groups(rows.withColumn("reference_number", F.col("reference"))).withColumnRenamed("confidence", "duplicate_confidence")
     rows = rows.join(pairs, ["statement_id", "seq"], "left")
     rows = classify.classify(rows, classifications)
     flagged = lambda done: review.with_flags(rows.withColumnRenamed("requires_review", "match_review"), done["review_queue"])
     return Results({
         "validation": lambda _: validate.validate(ledger), "money_received": lambda _: aggregate.side_summary(rows, "CREDIT"), "money_paid": lambda _: aggregate.side_summary(rows, "DEBIT"),
-        "clusters": lambda _: cluster.related_clusters(cluster.counterparty_clusters(rows)), "counterparties": lambda _: resolve.party_registry(rows), "group_totals": lambda _: aggregate.group_totals(rows),
+        "clusters": lambda _: cluster.related_clusters(cluster.counterparty_clusters(rows)), "counterparties": lambda done: resolve.party_registry(rows, done["clusters"]), "group_totals": lambda _: aggregate.group_totals(rows),
         "category_breakdown": lambda _: aggregate.category_breakdown(rows), "review_queue": lambda _: review.queue(rows), "totals": lambda _: rows.groupBy("statement_id").agg(*totals()),
         "transactions": lambda done: transaction_tree(cluster.cluster_of_transaction(flagged(done), done["clusters"])), "unknown": lambda _: unknown_transactions(rows),
     })

@@ -11,6 +11,7 @@ from ledgerloom.functions.text import income_or_expense
 from ledgerloom.operators import aggregate, classify, cluster, duplicates, resolve, review, validate
 from ledgerloom.operators.measures import money
 from ledgerloom.plans.results import Results
+from ledgerloom.storage import Stored
 
 
 def run(ledger: DataFrame, classifications: DataFrame, merges: DataFrame | None = None, group_by: str | Sequence[str] | None = None) -> Results:
@@ -25,6 +26,7 @@ def run(ledger: DataFrame, classifications: DataFrame, merges: DataFrame | None
     if merges is not None:
         rows = classify.merge_categories(rows, merges)
     rows = classify.repair_relationships(resolve.with_canonical_names(rows))
+    rows = Stored(rows.sparkSession).write(rows, "classified")  # every result reads these rows
     net = [money("CREDIT").alias("credit_total"), money("DEBIT").alias("debit_total"), (money("CREDIT") - money("DEBIT")).alias("net")]
     return Results({
         "rows": lambda _: rows, "validation": lambda _: validate.validate_adjacent(ledger), "clusters": lambda _: cluster.cluster_by_fields(rows, group_by), "counterparties": lambda _: aggregate.counterparty_summary(rows),

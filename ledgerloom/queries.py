@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ledgerloom.functions import text as t
 from ledgerloom.functions.similarity import sequence_ratio
 from ledgerloom.operators import aggregate, catalog, classify, cluster, duplicates, parse, recurring, resolve, review, validate
-from ledgerloom.plans import evidence, grouped, manual
+from ledgerloom.plans import manual
 from ledgerloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,10 +321,12 @@ def duplicate_groups(spark, sf_dir):
     return flat(duplicates.duplicate_groups(doubled(spark, sf_dir)))
 
 
-@query(f"""with {L2}, m as (select statement_id, list_sort(list(amount))[len(list(amount)) // 2 + 1] as median_amount from l2 group by 1)
-select event_id, cast(amount as double) as amount, cast(median_amount as double) as median_amount from l2 join m using (statement_id) where median_amount > 0 and amount >= 10 * median_amount""")
+@query(f"""with {L2}, b as (select * replace (case when event_id % 50 = 0 then amount * 100 else amount end as amount) from l2), m as (select statement_id, list_sort(list(amount))[len(list(amount)) // 2 + 1] as median_amount from b group by 1)
+select event_id, cast(amount as double) as amount, cast(median_amount as double) as median_amount from b join m using (statement_id) where median_amount > 0 and amount >= 10 * median_amount""")
 def unusual_amounts(spark, sf_dir):
-    rows = tables.narrated_ledger(spark, sf_dir)
+    """With a hundredfold amount here and there."""
+    raised = F.when(F.col("event_id") % 50 == 0, F.col("amount") * 100).otherwise(F.col("amount"))
+    rows = tables.narrated_ledger(spark, sf_dir).withColumn("amount", raised)
     found = rows.join(aggregate.upper_median(rows), "statement_id").filter("median_amount > 0 and amount >= 10 * median_amount")
     return flat(found, "event_id", "amount", "median_amount")
 
@@ -483,29 +485,11 @@ def manual_normalize_cluster(spark, sf_dir):
 _LINES = "lines as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from documents)"
 
 
-@query(rf"""with {_LINES}, d as (
-  select *, sum(cast(regexp_matches(line, '\d[\d,]*\.?\d{{0,2}}') as int)) over (partition by doc_id order by line_no rows between current row and 11 following) as n,
-    regexp_matches(line, '^\s*(\d{{1,2}}[-/. ]([A-Za-z]{{3,9}}|\d{{1,2}})[-/. ,]+\d{{2,4}}|\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}})') as is_date from lines)
-select doc_id, min(line_no) as first_line from d where is_date and n >= 2 group by 1""")
-def boundary_heuristic(spark, sf_dir):
-    return flat(parse.first_transaction_line(parse.text_lines(tables.table(spark, sf_dir, "documents"), "doc_id"), "doc_id"))
-
-
 @query("select doc_id, length(text) as n_chars, len(string_split(text, chr(10))) as n_lines, array_to_string(list_transform(string_split(text, chr(10))[1:8], lambda x: substring(x, 1, 150)), chr(10)) as preview from documents")
 def inspect_text(spark, sf_dir):
     return flat(parse.inspect(tables.table(spark, sf_dir, "documents"), "doc_id"))
 
 
-@query()
-def chunk_lines(spark, sf_dir):
-    return flat(parse.line_chunks(tables.table(spark, sf_dir, "documents"), "doc_id"))
-
-
-@query()
-def chunk_ranges(spark, sf_dir):
-    return flat(parse.line_ranges(tables.table(spark, sf_dir, "documents"), "doc_id"))
-
-
 @query("""select o_custkey, o_orderkey, o_orderstatus, cast(o_totalprice as double) as o_totalprice from (
   select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders) where r = 1""")
 def latest_statement_per_file(spark, sf_dir):
@@ -526,9 +510,9 @@ def soft_delete_views(spark, sf_dir):
     return part(catalog.dead(rows), "dead").unionByName(part(catalog.active(rows), "active")).unionByName(part(catalog.inactive(rows), "inactive"))
 
 
-@query("select o_custkey, min(o_orderkey) as o_orderkey from orders where o_orderkey % 7 = 0 group by 1 having count(*) = 1")
+@query("select l_orderkey, min(l_partkey) as l_partkey from lineitem group by 1 having count(*) = 1")
 def get_or_none(spark, sf_dir):
-    return catalog.only_row_per_key(tables.table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0"), "o_custkey").select("o_custkey", "o_orderkey")
+    return catalog.only_row_per_key(tables.table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", "l_partkey")
 
 
 @query("""with v as (select conv_id, turn, case when role = 'user' then text end as asked, case when role = 'assistant' then text end as answered from conversations)
@@ -697,11 +681,14 @@ def keep_first_items(spark, sf_dir):
     return review.without_repeats(items.unionByName(items)).select(F.col("transaction_id").alias("event_id"), F.col("seq").alias("row_id"))
 
 
-@query(f"""with {L2}, n as (select *, trim(regexp_replace(upper(narration), '[^A-Z0-9]+', ' ', 'g')) as norm from l2), g as (select statement_id, count(distinct (norm, direction)) as cluster_count from n group by 1)
-select statement_id, count(distinct txn_date) as page_count, count(*) as transaction_count, any_value(cluster_count) as cluster_count from n join g using (statement_id) group by 1""")
+@query(f"""with {L2}, n as (select *, trim(regexp_replace(upper(narration), '[^A-Z0-9]+', ' ', 'g')) as norm from l2 where event_type <> 'view'), g as (select statement_id, count(*) as transaction_count, count(distinct (norm, direction)) as cluster_count from n group by 1),
+p as (select statement_id, count(distinct txn_date) as page_count from l2 group by 1)
+select statement_id, page_count, coalesce(transaction_count, 0) as transaction_count, coalesce(cluster_count, 0) as cluster_count from p left join g using (statement_id)""".replace("event_type <> 'view'", "counterparty <> 'view'"))
 def manual_summary(spark, sf_dir):
+    """Days stand for pages; pages of views alone have no rows."""
     rows = tables.narrated_ledger(spark, sf_dir).withColumns({"normalized_narration": t.normalize_narration(F.col("narration")), "transaction_type": F.col("direction")})
-    return flat(manual.summary(rows, manual.clusters(rows, "event_id", "event_id"), "txn_date"))
+    kept = rows.filter("counterparty <> 'view'")
+    return flat(manual.summary(kept, manual.clusters(kept, "event_id", "event_id"), rows, "txn_date"))
 
 
 @query()
@@ -721,23 +708,12 @@ def resolve_entities(spark, sf_dir):
     return flat(found)
 
 
-@query()
-def evidence_pipeline(spark, sf_dir):
-    rows = _printed(spark, sf_dir)
-    none = spark.createDataFrame([], "statement_id long, transaction_id string, category string, confidence double, evidence array<string>, requires_review boolean")
-    return flat(evidence.run(rows, none)["review_queue"], "statement_id", "transaction_id", "issue_type", "severity", "position")
-
-
-@query()
-def grouped_pipeline(spark, sf_dir):
-    rows = narrated(spark, sf_dir).withColumn("balance", F.lit(None).cast("decimal(18,2)")).drop("counterparty")
-    none = spark.createDataFrame([], "statement_id long, transaction_id string, category string, counterparty string, payment_mode string, relationship string, confidence double")
-    return flat(grouped.run(rows, none, group_by="counterparty,month")["clusters"], "statement_id", "cluster_id", "direction", "counterparty", "month", "transaction_count", "total_amount", "recurring", "rank")
-
-
 @query()
 def narration_similarity(spark, sf_dir):
     """Neighbouring narrations of a statement and how alike they are."""
     rows = narrated(spark, sf_dir)
     before = F.lag("narration").over(Window.partitionBy("statement_id").orderBy("seq"))
     return rows.withColumn("before", before).filter("before is not null").select("event_id", sequence_ratio(F.upper("before"), F.upper("narration")).alias("ratio"))
+
+
+import ledgerloom.statement_queries  # noqa: E402, F401  registers more queries

@@ -73,3 +73,27 @@ def doubled_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = narrated_ledger(spark, sf_dir)
     again = rows.filter(F.col("event_id") % 20 == 0).withColumn("row_id", F.col("event_id") + 10_000_000)
     return rows.unionByName(again)
+
+
+def statement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrated ledger as printed text: two head lines, then a line for each transaction."""
+    rows = narrated_ledger(spark, sf_dir)
+    word = F.when(F.col("direction") == "CREDIT", "Cr").otherwise("Withdrawal")
+    line = F.concat_ws(" ", F.date_format("txn_date", "yyyy-MM-dd"), "narration", F.col("amount").cast("string"), word)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"])
+    heads = F.when(F.col("statement_id") % 2 == 0, "Date Narration Debit Credit Balance").otherwise("Date Particulars Amount Dr or Cr")
+    text = F.concat_ws("\n", F.concat(F.lit("Statement of "), F.col("statement_id").cast("string")), heads, F.array_join("lines", "\n"))
+    return rows.groupBy("statement_id").agg(lines.alias("lines")).select("statement_id", text.alias("text"))
+
+
+def balanced_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrated ledger with ids, printed balances (every fifth missing) and, in places, the wrong direction."""
+    order = Window.partitionBy("statement_id").orderBy("event_id")
+    rows = narrated_ledger(spark, sf_dir).withColumn("seq", F.row_number().over(order)).withColumnRenamed("counterparty", "event_type")
+    signed = F.when(F.col("direction") == "CREDIT", F.col("amount")).otherwise(-F.col("amount"))
+    running = F.sum(signed).over(order.rowsBetween(Window.unboundedPreceding, 0)) + 1000
+    flipped = F.when(F.col("direction") == "CREDIT", "DEBIT").otherwise("CREDIT")
+    return rows.withColumns({
+        "transaction_id": F.format_string("tx_%06d", "seq"), "balance": F.when(F.col("event_id") % 5 != 0, running.cast("decimal(18,2)")),
+        "opening_balance": F.lit(1000).cast("decimal(15,2)"), "extraction_confidence": F.lit(0.9), "direction": F.when(F.col("event_id") % 13 == 0, flipped).otherwise(F.col("direction")),
+    })

@@ -28,6 +28,7 @@ def comparable(df: pd.DataFrame) -> pd.DataFrame:
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, oracle, name):
     got, want = comparable(QUERIES[name](spark, SF).toPandas()), comparable(oracle.execute(SQL[name]).df())
+    assert len(got)
     pd.testing.assert_frame_equal(got, want)
 
 
