@@ -1,19 +1,22 @@
-"""Edit-aware token counts: a segment tree over a document's pre-tokens.
+"""Edit-aware token counts: a segment tree over a document's pre-tokens, kept beside the document.
 
-Leaves hold a few dozen pre-tokens; inner nodes hold sums of characters and of tokens. An edit re-splits from a leaf
-boundary that the edit cannot move until old and new boundaries meet again, encodes only that region, and updates the
-sums on the way to the root.
+Leaves hold a few dozen pre-tokens; inner nodes hold sums of characters and of tokens. What is kept of a tree is the text,
+the lengths of its pre-tokens, and the pre-tokens and tokens of each leaf, in a table (``token_trees``) that edits read
+and write anew (``edited_trees``) without encoding the text again. An edit re-splits from a leaf boundary that the edit
+cannot move until old and new boundaries meet again, encodes only that region, and updates the sums on the way to the
+root.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ledgerloom.llm.byte_bpe import ByteBPE, _groups, default_pattern, default_ranks, tokenizer
-from ledgerloom.llm.runtime import document_columns
+from ledgerloom.llm.runtime import Stored, document_columns
 
 LEAF = 48
 #: Characters after a boundary that the pattern may look at before it sets it: a contraction is up to three long.
@@ -29,16 +32,36 @@ class TokenTree:
         self.reencoded = 0
         self._build(pieces)
 
+    @classmethod
+    def of_kept(cls, bpe: ByteBPE, text: str, lengths: np.ndarray, leaf_pieces: np.ndarray, leaf_tokens: np.ndarray) -> "TokenTree":
+        """The tree of what ``kept`` gave; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.bpe, tree.reencoded = bpe, 0
+        ends = np.cumsum(lengths).tolist()
+        pieces = [text[lo:hi] for lo, hi in zip([0, *ends], ends)]
+        cuts = np.cumsum(leaf_pieces).tolist()
+        tree._sums([pieces[lo:hi] for lo, hi in zip([0, *cuts], cuts)] or [[]], leaf_tokens.tolist() or [0])
+        return tree
+
+    def kept(self) -> tuple[str, list[int], list[int], list[int]]:
+        """Text, lengths of pre-tokens, and pre-tokens and tokens of each leaf."""
+        pieces = [p for leaf in self.leaves for p in leaf]
+        return "".join(pieces), [len(p) for p in pieces], [len(leaf) for leaf in self.leaves], self.tokens[self.width : self.width + len(self.leaves)]
+
     def _build(self, pieces: list[str]) -> None:
         words = self.bpe.learn([pieces])
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+        leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+        self._sums(leaves, [sum([words[w][0] for w in leaf]) for leaf in leaves])
+
+    def _sums(self, leaves: list[list[str]], tokens: list[int]) -> None:
+        self.leaves = leaves
         self.width = 1
         while self.width < len(self.leaves):
             self.width *= 2
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
         for i, leaf in enumerate(self.leaves):
             self.chars[self.width + i] = sum(map(len, leaf))
-            self.tokens[self.width + i] = sum([words[w][0] for w in leaf])
+            self.tokens[self.width + i] = tokens[i]
         for node in range(self.width - 1, 0, -1):
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
             self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
@@ -142,36 +165,76 @@ class TokenTree:
         return len(rest) >= LOOKAHEAD and not rest.isspace()
 
 
-def _counted(edits_of: Callable[[str], list[Edit]], ranks_path: str, pattern: str):
+_KEPT = "text string, lengths array<int>, leaf_pieces array<int>, leaf_tokens array<int>"
+_COUNTS = "doc_id long, n_tokens long, n_tokens_edited long, n_edits long, n_reencoded long"
+
+
+def _kept_columns(trees: list[tuple]) -> list[pa.Array]:
+    return [pa.array([t[0] for t in trees], pa.string())] + [pa.array([t[i] for t in trees], pa.list_(pa.int32())) for i in (1, 2, 3)]
+
+
+def _grown(ranks_path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(ranks_path, pattern)
         for batch in batches:
-            before, after, n_edits, again = [], [], [], []
+            at = 0
             for texts in _groups(batch.column("text").to_pylist()):
                 split = [bpe.pre.split(t) for t in texts]
                 bpe.learn(split)
-                for text, pieces in zip(texts, split):
-                    tree = TokenTree(bpe, pieces)
-                    before.append(tree.count)
-                    edits = sorted(edits_of(text), reverse=True)  # from the end, so that earlier offsets stay
+                trees = [TokenTree(bpe, pieces).kept() for pieces in split]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), *_kept_columns(trees)], names=["doc_id", "text", "lengths", "leaf_pieces", "leaf_tokens"])
+                at += len(texts)
+        bpe.forget()
+
+    return run
+
+
+def token_trees(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """What is kept of each document's tree: doc_id, text, lengths, leaf_pieces, leaf_tokens. To be written as a table.
+
+    Null text is empty and has an empty tree; repeated rows have a tree each; an empty table gives an empty one.
+    """
+    return document_columns(docs).mapInArrow(_grown(ranks_path or default_ranks(), pattern or default_pattern()), f"doc_id long, {_KEPT}")
+
+
+def _edited(edits_of: Callable[[str], list[Edit]], ranks_path: str, pattern: str, keep: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(ranks_path, pattern)
+        for batch in batches:
+            counts, trees = [], []
+            for text, lengths, pieces, tokens in zip(batch.column("text"), *(batch.column(c) for c in ("lengths", "leaf_pieces", "leaf_tokens"))):
+                text, sums = text.as_py(), tokens.values.to_numpy()
+                edits = sorted(edits_of(text), reverse=True)  # from the end, so that earlier offsets stay
+                before = after = int(sums.sum())
+                again = 0
+                if edits or keep:
+                    tree = TokenTree.of_kept(bpe, text, lengths.values.to_numpy(), pieces.values.to_numpy(), sums)
                     for edit in edits:
                         tree.edit(*edit)
-                    after.append(tree.count)
-                    n_edits.append(len(edits))
-                    again.append(tree.reencoded)
-            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (before, after, n_edits, again))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_reencoded"])
+                    after, again = tree.count, tree.reencoded
+                    trees += [tree.kept()] if keep else []
+                counts.append((before, after, len(edits), again))
+            columns = [batch.column("doc_id"), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), *(_kept_columns(trees) if keep else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_reencoded", *(["text", "lengths", "leaf_pieces", "leaf_tokens"] if keep else [])])
         bpe.forget()
 
     return run
 
 
+def edited_trees(trees: DataFrame, edits_of: Callable[[str], list[Edit]], ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Kept trees after edits: doc_id, n_tokens, n_tokens_edited, n_edits, n_reencoded, and the tree to keep from now on.
+
+    ``edits_of`` gives disjoint (start, end, replacement) in offsets of the text. Only regions that edits touch are encoded;
+    counts equal those of encoding the edited text afresh.
+    """
+    return trees.mapInArrow(_edited(edits_of, ranks_path or default_ranks(), pattern or default_pattern(), True), f"{_COUNTS}, {_KEPT}")
+
+
 def edited_token_counts(docs: DataFrame, edits_of: Callable[[str], list[Edit]], ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_tokens_edited (after the edits), n_edits, n_reencoded.
 
-    ``edits_of`` gives disjoint (start, end, replacement) in offsets of the text. Null text is empty and has no tokens;
-    repeated rows give repeated results; an empty table gives an empty one. Counts equal those of encoding the edited
-    text afresh.
+    The documents' trees are written once, and the edits read them. Null text is empty and has no tokens; repeated rows give
+    repeated results; an empty table gives an empty one.
     """
-    run = _counted(edits_of, ranks_path or default_ranks(), pattern or default_pattern())
-    return document_columns(docs).mapInArrow(run, "doc_id long, n_tokens long, n_tokens_edited long, n_edits long, n_reencoded long")
+    kept = Stored(docs.sparkSession).write(token_trees(docs, ranks_path, pattern), "token-trees")
+    return kept.mapInArrow(_edited(edits_of, ranks_path or default_ranks(), pattern or default_pattern(), False), _COUNTS)

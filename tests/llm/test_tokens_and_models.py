@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import byte_bpe, language, toxicity
 from ledgerloom.llm.byte_bpe import decode_documents, default_pattern, default_ranks, encode_documents, token_digests, tokenizer
 from ledgerloom.llm.queries import cleaning_edits
-from ledgerloom.llm.token_tree import TokenTree, edited_token_counts
+from ledgerloom.llm.token_tree import TokenTree, edited_token_counts, edited_trees, token_trees
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.01"
@@ -216,3 +216,32 @@ def test_language_of_numbers_is_undetermined(spark):
     odd = spark.createDataFrame([(1, "½ ²"), (2, "⑤"), (3, "Ⅷ 12"), (4, "½ cat")], "doc_id long, text string").selectExpr("*", "cast(null as string) lang")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict_language(odd, language.fit_language(docs)).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "en"
+
+
+def test_trees_are_kept_and_edited_again(spark):
+    texts = [(1, "hello world, it's 5 o'clock  \n" * 40), (2, None), (3, ""), (4, "a"), (4, "a"), (None, "naïve 😀 text " * 200)]
+    cut = lambda text: [(i, i + 3, "Q! ") for i in range(2, max(2, len(text) - 5), 97)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("lengths", F.lit("clash"))
+    once = edited_trees(token_trees(docs), cut).cache()
+    again = edited_trees(once.select("doc_id", "text", "lengths", "leaf_pieces", "leaf_tokens"), cut)
+    bpe = tokenizer(default_ranks(), default_pattern())
+
+    def apply(text):
+        for s, e, new in sorted(cut(text), reverse=True):
+            text = text[:s] + new + text[e:]
+        return text
+
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"])
+    for frame, rounds in ((once, 1), (again, 2)):
+        got, want = sorted(frame.collect(), key=key), []
+        for i, text in texts:
+            before = text or ""
+            for _ in range(rounds - 1):
+                before = apply(before)
+            after = apply(before)
+            want.append({"doc_id": i, "n_tokens": len(bpe.encode(before)), "n_tokens_edited": len(bpe.encode(after)), "text": after})
+        for r, w in zip(got, sorted(want, key=key), strict=True):
+            assert {k: r[k] for k in w} == w and r["n_edits"] == 0 or r["n_reencoded"] < max(r["n_tokens"], 60 * r["n_edits"])
+            assert sum(r["lengths"]) == len(r["text"]) and sum(r["leaf_tokens"]) == r["n_tokens_edited"]
+            assert (r["n_tokens"], r["n_tokens_edited"], r["text"]) == (w["n_tokens"], w["n_tokens_edited"], w["text"])
+    once.unpersist()
