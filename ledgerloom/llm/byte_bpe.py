@@ -24,6 +24,8 @@ from ledgerloom.llm.runtime import document_columns
 
 CACHED_WORDS = 60_000
 BLOCK_CHARS = 3_000_000
+#: So few new pre-tokens, as after an edit, are encoded one by one; an index over them costs more than it saves.
+FEW_WORDS = 64
 _NO_MERGE = 1 << 30
 
 
@@ -156,6 +158,11 @@ class ByteBPE:
             out[todo[w - 1]] = self._alone(raws[todo[w - 1]])
         return out
 
+    def _one(self, word: str) -> tuple[int, ...]:
+        raw = word.encode()
+        rank = self.ranks.get(raw)
+        return self._alone(raw) if rank is None else (rank,)
+
     def _alone(self, raw: bytes) -> tuple[int, ...]:
         """One word by the definition: merge the leftmost pair of least rank until none is left."""
         parts = [int(self.byte_ids[b]) for b in raw]
@@ -181,7 +188,7 @@ class ByteBPE:
                     new.add(w)
         words = sorted(new)
         tokens = self.tokens
-        for w, ids in zip(words, self.replay(words)):
+        for w, ids in zip(words, self.replay(words) if len(words) > FEW_WORDS else map(self._one, words)):
             young[w] = (len(ids), ",".join(map(str, ids)), b"".join([tokens[i] for i in ids]))
         return young
 

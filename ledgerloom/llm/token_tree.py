@@ -1,10 +1,10 @@
 """Edit-aware token counts: a segment tree over a document's pre-tokens, kept beside the document.
 
 Leaves hold a few dozen pre-tokens; inner nodes hold sums of characters and of tokens. What is kept of a tree is the text,
-the lengths of its pre-tokens, and the pre-tokens and tokens of each leaf, in a table (``token_trees``) that edits read
+the lengths and token counts of its pre-tokens, and how they fall into leaves, in a table (``token_trees``) that edits read
 and write anew (``edited_trees``) without encoding the text again. An edit re-splits from a leaf boundary that the edit
-cannot move until old and new boundaries meet again, encodes only that region, and updates the sums on the way to the
-root.
+cannot move until old and new boundaries meet again, encodes only what is new in that region, and updates the sums on the
+way to the root.
 """
 
 from __future__ import annotations
@@ -33,35 +33,37 @@ class TokenTree:
         self._build(pieces)
 
     @classmethod
-    def of_kept(cls, bpe: ByteBPE, text: str, lengths: np.ndarray, leaf_pieces: np.ndarray, leaf_tokens: np.ndarray) -> "TokenTree":
+    def of_kept(cls, bpe: ByteBPE, text: str, lengths: np.ndarray, tokens: np.ndarray, leaf_pieces: np.ndarray) -> "TokenTree":
         """The tree of what ``kept`` gave; nothing is encoded."""
         tree = cls.__new__(cls)
         tree.bpe, tree.reencoded = bpe, 0
-        ends = np.cumsum(lengths).tolist()
-        pieces = [text[lo:hi] for lo, hi in zip([0, *ends], ends)]
-        cuts = np.cumsum(leaf_pieces).tolist()
-        tree._sums([pieces[lo:hi] for lo, hi in zip([0, *cuts], cuts)] or [[]], leaf_tokens.tolist() or [0])
+        ends, cuts = np.cumsum(lengths).tolist(), np.cumsum(leaf_pieces).tolist()
+        pieces, tokens = [text[lo:hi] for lo, hi in zip([0, *ends], ends)], tokens.tolist()
+        spans = list(zip([0, *cuts], cuts)) or [(0, 0)]
+        tree._sums([pieces[lo:hi] for lo, hi in spans], [tokens[lo:hi] for lo, hi in spans])
         return tree
 
     def kept(self) -> tuple[str, list[int], list[int], list[int]]:
-        """Text, lengths of pre-tokens, and pre-tokens and tokens of each leaf."""
+        """Text, lengths and token counts of pre-tokens, and the number of them in each leaf."""
         pieces = [p for leaf in self.leaves for p in leaf]
-        return "".join(pieces), [len(p) for p in pieces], [len(leaf) for leaf in self.leaves], self.tokens[self.width : self.width + len(self.leaves)]
+        return "".join(pieces), [len(p) for p in pieces], [n for counts in self.counts for n in counts], [len(leaf) for leaf in self.leaves]
 
-    def _build(self, pieces: list[str]) -> None:
-        words = self.bpe.learn([pieces])
-        leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self._sums(leaves, [sum([words[w][0] for w in leaf]) for leaf in leaves])
+    def _build(self, pieces: list[str], counts: list[int] | None = None) -> None:
+        if counts is None:
+            words = self.bpe.learn([pieces])
+            counts = [words[w][0] for w in pieces]
+        places = range(0, len(pieces), LEAF) or [0]
+        self._sums([pieces[i : i + LEAF] for i in places], [counts[i : i + LEAF] for i in places])
 
-    def _sums(self, leaves: list[list[str]], tokens: list[int]) -> None:
-        self.leaves = leaves
+    def _sums(self, leaves: list[list[str]], counts: list[list[int]]) -> None:
+        self.leaves, self.counts = leaves, counts
         self.width = 1
         while self.width < len(self.leaves):
             self.width *= 2
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
         for i, leaf in enumerate(self.leaves):
             self.chars[self.width + i] = sum(map(len, leaf))
-            self.tokens[self.width + i] = tokens[i]
+            self.tokens[self.width + i] = sum(counts[i])
         for node in range(self.width - 1, 0, -1):
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
             self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
@@ -89,10 +91,10 @@ class TokenTree:
                 node += 1
         return max(0, node - self.width), begin
 
-    def _set_leaf(self, i: int, pieces: list[str], tokens: int) -> None:
-        self.leaves[i] = pieces
+    def _set_leaf(self, i: int, pieces: list[str], counts: list[int]) -> None:
+        self.leaves[i], self.counts[i] = pieces, counts
         node = self.width + i
-        chars, tokens = sum(map(len, pieces)) - self.chars[node], tokens - self.tokens[node]
+        chars, tokens = sum(map(len, pieces)) - self.chars[node], sum(counts) - self.tokens[node]
         while node:
             self.chars[node] += chars
             self.tokens[node] += tokens
@@ -103,8 +105,9 @@ class TokenTree:
         if not 0 <= start <= end <= self.length:
             raise ValueError(f"edit {start}:{end} is outside a text of {self.length} characters")
         if not self.length:
-            self._build(self.bpe.pre.split(replacement))
-            self.reencoded += len(self.leaves[0])
+            pieces = self.bpe.pre.split(replacement)
+            self._build(pieces)
+            self.reencoded += len(pieces)
             return
         first, begin = self._leaf_at(start)
         # Back to a boundary that stays: far enough before the edit, and not within white space that reaches it.
@@ -127,16 +130,20 @@ class TokenTree:
                 break
             last += 1
             stop += self.chars[self.width + last]
-        pieces, tail, fresh = kept
-        self.reencoded += len(fresh)
-        words = self.bpe.learn([pieces])
-        if len(pieces) > 4 * LEAF * (last - first + 1):
-            self._build([p for leaf in self.leaves[:first] for p in leaf] + pieces + [p for leaf in self.leaves[last + 1 :] for p in leaf])
+        known = dict(zip(old, [n for counts in self.counts[first : last + 1] for n in counts]))
+        new = [p for p in kept if p not in known]
+        self.reencoded += len(new)
+        if new:
+            words = self.bpe.learn([new])
+            known |= {p: words[p][0] for p in new}
+        counts = [known[p] for p in kept]
+        if len(kept) > 4 * LEAF * (last - first + 1):
+            around = lambda parts, own: [x for part in parts[:first] for x in part] + own + [x for part in parts[last + 1 :] for x in part]
+            self._build(around(self.leaves, kept), around(self.counts, counts))
             return
-        share = -(-len(pieces) // (last - first + 1)) or 1
+        share = -(-len(kept) // (last - first + 1)) or 1
         for n, i in enumerate(range(first, last + 1)):
-            own = pieces[n * share : (n + 1) * share]
-            self._set_leaf(i, own, sum([words[w][0] for w in own]))
+            self._set_leaf(i, kept[n * share : (n + 1) * share], counts[n * share : (n + 1) * share])
 
     def _meets(self, old: list[str], new: str, start: int, end: int, delta: int, at_end: bool):
         """The region's pieces after the edit, or None if its boundaries don't meet the old ones within it."""
@@ -153,10 +160,10 @@ class TokenTree:
                     if seen >= at - delta:
                         rest.append(p)
                     seen += len(p)
-                return fresh[: i + 1] + rest, rest, fresh[: i + 1]
+                return fresh[: i + 1] + rest
         if at_end:
-            return fresh, [], fresh
-        return None if old_length else ([], [], [])
+            return fresh
+        return None if old_length else []
 
     @staticmethod
     def _settled(new: str, at: int) -> bool:
@@ -165,7 +172,7 @@ class TokenTree:
         return len(rest) >= LOOKAHEAD and not rest.isspace()
 
 
-_KEPT = "text string, lengths array<int>, leaf_pieces array<int>, leaf_tokens array<int>"
+_KEPT = "text string, lengths array<int>, tokens array<int>, leaf_pieces array<int>"
 _COUNTS = "doc_id long, n_tokens long, n_tokens_edited long, n_edits long, n_reencoded long"
 
 
@@ -173,6 +180,10 @@ def _kept_columns(trees: list[tuple]) -> list[pa.Array]:
     return [pa.array([t[0] for t in trees], pa.string())] + [pa.array([t[i] for t in trees], pa.list_(pa.int32())) for i in (1, 2, 3)]
 
 
+def _even_leaves(pieces: int) -> list[int]:
+    return [min(LEAF, pieces - i) for i in range(0, pieces, LEAF)] or [0]
+
+
 def _grown(ranks_path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(ranks_path, pattern)
@@ -180,9 +191,9 @@ def _grown(ranks_path: str, pattern: str):
             at = 0
             for texts in _groups(batch.column("text").to_pylist()):
                 split = [bpe.pre.split(t) for t in texts]
-                bpe.learn(split)
-                trees = [TokenTree(bpe, pieces).kept() for pieces in split]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), *_kept_columns(trees)], names=["doc_id", "text", "lengths", "leaf_pieces", "leaf_tokens"])
+                words = bpe.learn(split)
+                trees = [(t, [len(p) for p in pieces], [words[p][0] for p in pieces], _even_leaves(len(pieces))) for t, pieces in zip(texts, split)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), *_kept_columns(trees)], names=["doc_id", "text", "lengths", "tokens", "leaf_pieces"])
                 at += len(texts)
         bpe.forget()
 
@@ -190,7 +201,7 @@ def _grown(ranks_path: str, pattern: str):
 
 
 def token_trees(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """What is kept of each document's tree: doc_id, text, lengths, leaf_pieces, leaf_tokens. To be written as a table.
+    """What is kept of each document's tree: doc_id, text, lengths, tokens, leaf_pieces. To be written as a table.
 
     Null text is empty and has an empty tree; repeated rows have a tree each; an empty table gives an empty one.
     """
@@ -202,20 +213,20 @@ def _edited(edits_of: Callable[[str], list[Edit]], ranks_path: str, pattern: str
         bpe = tokenizer(ranks_path, pattern)
         for batch in batches:
             counts, trees = [], []
-            for text, lengths, pieces, tokens in zip(batch.column("text"), *(batch.column(c) for c in ("lengths", "leaf_pieces", "leaf_tokens"))):
-                text, sums = text.as_py(), tokens.values.to_numpy()
+            for text, *arrays in zip(batch.column("text"), *(batch.column(c) for c in ("lengths", "tokens", "leaf_pieces"))):
+                text, (lengths, tokens, pieces) = text.as_py(), (a.values.to_numpy() for a in arrays)
                 edits = sorted(edits_of(text), reverse=True)  # from the end, so that earlier offsets stay
-                before = after = int(sums.sum())
+                before = after = int(tokens.sum())
                 again = 0
                 if edits or keep:
-                    tree = TokenTree.of_kept(bpe, text, lengths.values.to_numpy(), pieces.values.to_numpy(), sums)
+                    tree = TokenTree.of_kept(bpe, text, lengths, tokens, pieces)
                     for edit in edits:
                         tree.edit(*edit)
                     after, again = tree.count, tree.reencoded
                     trees += [tree.kept()] if keep else []
                 counts.append((before, after, len(edits), again))
             columns = [batch.column("doc_id"), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), *(_kept_columns(trees) if keep else [])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_reencoded", *(["text", "lengths", "leaf_pieces", "leaf_tokens"] if keep else [])])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_reencoded", *(["text", "lengths", "tokens", "leaf_pieces"] if keep else [])])
         bpe.forget()
 
     return run

@@ -223,7 +223,7 @@ def test_trees_are_kept_and_edited_again(spark):
     cut = lambda text: [(i, i + 3, "Q! ") for i in range(2, max(2, len(text) - 5), 97)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("lengths", F.lit("clash"))
     once = edited_trees(token_trees(docs), cut).cache()
-    again = edited_trees(once.select("doc_id", "text", "lengths", "leaf_pieces", "leaf_tokens"), cut)
+    again = edited_trees(once.select("doc_id", "text", "lengths", "tokens", "leaf_pieces"), cut)
     bpe = tokenizer(default_ranks(), default_pattern())
 
     def apply(text):
@@ -242,6 +242,6 @@ def test_trees_are_kept_and_edited_again(spark):
             want.append({"doc_id": i, "n_tokens": len(bpe.encode(before)), "n_tokens_edited": len(bpe.encode(after)), "text": after})
         for r, w in zip(got, sorted(want, key=key), strict=True):
             assert {k: r[k] for k in w} == w and r["n_edits"] == 0 or r["n_reencoded"] < max(r["n_tokens"], 60 * r["n_edits"])
-            assert sum(r["lengths"]) == len(r["text"]) and sum(r["leaf_tokens"]) == r["n_tokens_edited"]
+            assert sum(r["lengths"]) == len(r["text"]) and sum(r["tokens"]) == r["n_tokens_edited"] and sum(r["leaf_pieces"]) == len(r["tokens"])
             assert (r["n_tokens"], r["n_tokens_edited"], r["text"]) == (w["n_tokens"], w["n_tokens_edited"], w["text"])
     once.unpersist()
