@@ -51,14 +51,17 @@ def _long_words(key: str) -> frozenset[str]:
     return frozenset(w for w in key.split() if len(w) >= 3)
 
 
+@lru_cache(maxsize=1 << 17)
+def _alike(key: str, other: str, threshold: float) -> bool:
+    """The same names stand in many statements, so a worker keeps what it has compared lately."""
+    words, theirs = _long_words(key), _long_words(other)
+    return key == other or bool(words and theirs and (words <= theirs or theirs <= words)) or Ratio(other, threshold).of(key) is not None
+
+
 def similar_to(key: str, known: Iterable[str], threshold: float) -> Iterable[str]:
     """Those of ``known`` that are equal, whose words of three characters and more hold or are within the key's, or whose
     ratio from the key reaches the threshold."""
-    words = _long_words(key)
-    for other in known:
-        theirs = _long_words(other)
-        if other and key and (key == other or words and theirs and (words <= theirs or theirs <= words) or Ratio(other, threshold).of(key) is not None):
-            yield other
+    return (other for other in known if key and other and _alike(key, other, threshold))
 
 
 def names_similar(key: str, known: Iterable[str], threshold: float) -> bool:
