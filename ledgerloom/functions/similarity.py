@@ -15,16 +15,29 @@ def text_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+@lru_cache(maxsize=1 << 16)
+def _classes(text: str) -> int:
+    """A bit for each of 64 classes of characters that occur."""
+    out = 0
+    for c in set(text):
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 class Ratio:
-    """Ratios of many texts to one, as far as they can reach a threshold: two upper bounds, by lengths and by characters,
-    go before the search for blocks."""
+    """Ratios of many texts to one, as far as they can reach a threshold: upper bounds by lengths, by classes of characters
+    that the other text lacks, and by characters go before the search for blocks."""
 
     def __init__(self, second: str, threshold: float):
         self.second, self.threshold, self.matcher = second, threshold, None
 
     def of(self, first: str) -> float | None:
         """The ratio if it is at the threshold or above."""
-        if 2 * min(len(first), len(self.second)) < self.threshold * (len(first) + len(self.second)):
+        a, b, least = len(first), len(self.second), self.threshold * (len(first) + len(self.second))
+        if 2 * min(a, b) < least:
+            return None
+        mine, theirs = _classes(first), _classes(self.second)
+        if 2 * min(a - (mine & ~theirs).bit_count(), b - (theirs & ~mine).bit_count()) < least:
             return None
         if self.matcher is None:
             self.matcher = SequenceMatcher(None, "", self.second)

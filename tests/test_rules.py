@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as t
-from ledgerloom.functions.similarity import names_similar, sequence_ratio, text_ratio
+from ledgerloom.functions.similarity import Ratio, names_similar, sequence_ratio, text_ratio
 from ledgerloom.operators import aggregate, catalog, classify, cluster, duplicates, parse, recurring, resolve, review, validate
 from ledgerloom.schema import RELATIONSHIPS
 
@@ -306,6 +306,16 @@ def test_canonical_names_equal_a_scan():
     assert dict(resolve.canonical_of(iter(names))) == want
 
 
+def test_bounds_reject_no_ratio_at_the_threshold():
+    rng = random.Random(5)
+    for _ in range(4000):
+        a = "".join(rng.choice("abcdeé ") for _ in range(rng.randint(0, 14)))
+        b = "".join(c if rng.random() < 0.85 else rng.choice("abcxyz") for c in a) + rng.choice(["", "q"])
+        ratio = text_ratio(a, b)
+        for threshold in (0.5, 0.85, 0.92):
+            assert Ratio(b, threshold).of(a) == (ratio if ratio >= threshold else None)
+
+
 def test_duplicate_numbers_follow_blocks(spark):
     """A block that begins with a flagged row is numbered by that row."""
     day, names = date(2026, 1, 1), {1: "A", 2: "B", 3: "B", 4: "A", 5: "A", 6: "A"}
