@@ -156,6 +156,7 @@ def normalize_narration(c: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9]+", " ")), F.lit(""))
 
 
+# The words, categories and their order in the two ladders below decide results.
 def infer_relationship(narration: Column, category: Column, direction: Column) -> Column:
     text = F.upper(narration)
     return (

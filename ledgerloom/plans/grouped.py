@@ -38,6 +38,7 @@ def run(ledger: DataFrame, classifications: DataFrame, merges: DataFrame | None
     })
 
 
+# Fixed value: the warning of a failed validation.
 MATERIAL_FAILURE = "Transaction extraction validation failed materially. Review extraction before relying on accounting conclusions."
 
 
@@ -86,6 +87,7 @@ def transaction_tree(rows: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
+# The wording of the five lines.
 def text_summary(rows: DataFrame, validation: DataFrame, queue: DataFrame) -> DataFrame:
     """Five lines on each statement. Sums are those before correction."""
     groups = aggregate.counterparty_summary(rows).groupBy("statement_id").agg(F.count_if("is_payer").alias("payers"), F.count_if("is_payee").alias("payees"))

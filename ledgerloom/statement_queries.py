@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom import api
 from ledgerloom.functions import text as t
 from ledgerloom.operators import catalog, classify, cluster, duplicates, parse, readers, resolve
 from ledgerloom.plans import evidence, grouped
@@ -295,3 +296,37 @@ def dated_credits(spark, sf_dir):
 def lines_of_texts(spark, sf_dir):
     lines = parse.text_lines(tables.table(spark, sf_dir, "documents"), "doc_id")
     return flat(lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.min("line").alias("l")).select("doc_id", "n_lines", F.sha2(F.coalesce("l", F.lit("")), 256).alias("least_sha256")))
+
+
+@query(f"""with {L2} select statement_id, {CR} as credit_total, {DR} as debit_total, {NET} as net, concat(strftime(min(txn_date), '%Y-%m-%d'), ' to ', strftime(max(txn_date), '%Y-%m-%d')) as statement_period, 1 as warnings from l2 group by 1""".replace("1 as warnings", "cast(1 as bigint) as warnings"))
+def statements_from_text(spark, sf_dir):
+    """Printed text to nested results; no balance is printed, so each statement has the warning of a failed validation."""
+    results, _, _ = api.process_texts(tables.statement_texts(spark, sf_dir), readers.LineReader())
+    return flat(results["statement"].withColumn("warnings", F.size("warnings").cast("bigint")), "statement_id", "credit_total", "debit_total", "net", "statement_period", "warnings")
+
+
+@query(f"""with {ST} select statement_id, 2 as first_line, 'heuristic' as method, count(*) - 2 as read_rows, 'OK' as status from sl group by 1""".replace("2 as first_line", "cast(2 as bigint) as first_line"))
+def statement_statuses(spark, sf_dir):
+    _, statuses, _ = api.process_texts(tables.statement_texts(spark, sf_dir), readers.LineReader())
+    return flat(statuses, "statement_id", "first_line", "method", "read_rows", "status")
+
+
+@query(f"with {L2} select statement_id, {TOTALS} from l2 group by 1")
+def intelligence_from_text(spark, sf_dir):
+    results, _, _ = api.intelligence_texts(tables.statement_texts(spark, sf_dir), readers.LineReader())
+    return flat(results["totals"])
+
+
+@query(f"""with {_GROUPED}, g as (select statement_id, corrected, category, payment_mode, min(seq) as f from made group by 1, 2, 3, 4),
+cl as (select *, printf('CL%04d', row_number() over (partition by statement_id order by f)) as cluster_id from g)
+select m.statement_id, printf('tx_%06d', seq) as transaction_id, cast(amount as double) as amount, corrected as direction, m.category, m.payment_mode, cluster_id from made m join cl on m.statement_id = cl.statement_id and m.corrected = cl.corrected and m.category = cl.category and m.payment_mode = cl.payment_mode""")
+def grouped_transaction_tree(spark, sf_dir):
+    rows = _grouped(spark, sf_dir)["transactions"]
+    return flat(rows.select("statement_id", "transaction_id", "raw.amount", "raw.direction", "classification.category", "party.payment_mode", "cluster_id"))
+
+
+@query(f"""with {_CHECKED2} select statement_id, printf('tx_%06d', seq) as transaction_id, cast(amount as double) as amount, direction, {_mode_sql(t.MODES, 'upper(narration)', 'UNKNOWN')} as payment_mode,
+  case event_type when 'purchase' then 'PURCHASE' when 'click' then 'BANK_CHARGES' when 'error' then 'REFUND' when 'view' then 'INTERNAL_TRANSFER' else 'UNKNOWN' end as category from w""")
+def evidence_transaction_tree(spark, sf_dir):
+    rows = _evidence(spark, sf_dir)["transactions"]
+    return flat(rows.select("statement_id", "transaction_id", "raw.amount", "raw.direction", "normalized.payment_mode", "classification.category"))
