@@ -23,6 +23,7 @@ def _exploded(rows: DataFrame, rules: list[Column], first_rule: int = 0) -> Data
     return rows.select("statement_id", "transaction_id", "seq", F.explode(items).alias("i")).select("statement_id", "transaction_id", "seq", "i.rule_no", "i.item.*")
 
 
+# Issue types, severities and the wording of reasons in all rules below.
 def anomalies(ledger: DataFrame) -> DataFrame:
     """Six rules on classified rows: low confidence, unknown party or purpose, unusual amount, own transfer, personal."""
     rows = ledger.join(upper_median(ledger), "statement_id", "left")

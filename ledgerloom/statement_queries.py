@@ -319,7 +319,7 @@ def intelligence_from_text(spark, sf_dir):
 
 @query(f"""with {_GROUPED}, g as (select statement_id, corrected, category, payment_mode, min(seq) as f from made group by 1, 2, 3, 4),
 cl as (select *, printf('CL%04d', row_number() over (partition by statement_id order by f)) as cluster_id from g)
-select m.statement_id, printf('tx_%06d', seq) as transaction_id, cast(amount as double) as amount, corrected as direction, m.category, m.payment_mode, cluster_id from made m join cl on m.statement_id = cl.statement_id and m.corrected = cl.corrected and m.category = cl.category and m.payment_mode = cl.payment_mode""")
+select m.statement_id, printf('tx_%06d', seq) as transaction_id, cast(amount as double) as amount, m.corrected as direction, m.category, m.payment_mode, cluster_id from made m join cl on m.statement_id = cl.statement_id and m.corrected = cl.corrected and m.category = cl.category and m.payment_mode = cl.payment_mode""")
 def grouped_transaction_tree(spark, sf_dir):
     rows = _grouped(spark, sf_dir)["transactions"]
     return flat(rows.select("statement_id", "transaction_id", "raw.amount", "raw.direction", "classification.category", "party.payment_mode", "cluster_id"))
