@@ -9,9 +9,14 @@ from ledgerloom.functions.text import normalize_narration
 from ledgerloom.operators.measures import in_order, numbered
 
 
-def normalized(transactions: DataFrame) -> DataFrame:
-    """Type and amount from deposit or withdrawal, and the normalized narration."""
+def normalized(transactions: DataFrame, direction: str | None = None) -> DataFrame:
+    """Type and amount from deposit or withdrawal, and the normalized narration.
+
+    Where the column ``direction`` says CREDIT or DEBIT it decides, since an amount of 0 or none doesn't tell.
+    """
     credit = F.col("deposit") > 0
+    if direction is not None:
+        credit = F.when(F.col(direction).isin("CREDIT", "DEBIT"), F.col(direction) == "CREDIT").otherwise(credit)
     return transactions.withColumns({
         "normalized_narration": normalize_narration(F.col("narration")), "transaction_type": F.when(credit, "CREDIT").otherwise("DEBIT"),
         "amount": F.when(credit, F.col("deposit")).otherwise(F.col("withdrawal")),

@@ -479,7 +479,7 @@ def manual_normalize_cluster(spark, sf_dir):
     credit = F.col("direction") == "CREDIT"
     zero = F.lit(0).cast("decimal(15,2)")
     rows = rows.withColumns({"deposit": F.when(credit, F.col("amount")).otherwise(zero), "withdrawal": F.when(credit, zero).otherwise(F.col("amount"))}).drop("amount")
-    return flat(manual.clusters(manual.normalized(rows), "event_id", "event_id"), "statement_id", "normalized_narration", "transaction_type", "transaction_count", "total_amount", "members", "cluster_id")
+    return flat(manual.clusters(manual.normalized(rows, "direction"), "event_id", "event_id"), "statement_id", "normalized_narration", "transaction_type", "transaction_count", "total_amount", "members", "cluster_id")
 
 
 _LINES = "lines as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from documents)"
