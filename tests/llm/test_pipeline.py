@@ -96,3 +96,15 @@ def test_stages(spark, folder, tmp_path):
 def test_run_is_all_stages(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 200 < got.count() < 900
+
+
+def test_what_near_dedup_drops_reaches_nothing_that_follows(spark, folder, monkeypatch):
+    docs, (near_dedup, *following) = spark.read.parquet(f"{folder}/documents.parquet"), corpus_pipeline.STAGES[2:]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, folder).select("doc_id").collect()}
+    dropped = {r["doc_id"] for r in docs.select("doc_id").collect()} - kept
+    found = []
+    for stages in ([near_dedup, *following], following):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+        found.append([r["doc_id"] for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()])
+    assert dropped and set(found[0]) <= kept
+    assert set(found[1]) & dropped and len(found[1]) > len(found[0])
